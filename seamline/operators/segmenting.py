@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 from seamline import fixed_values as fixed
 from seamline.functions.numbers import fixed as fixed_point
 from seamline.functions.text import term_counts
-from seamline.operators.annotation import keyword_lists, top_terms
+from seamline.operators.annotation import top_terms
 from seamline.operators.batching import TID
 from seamline.operators.ordered import running_totals
+from seamline.operators.skew import HOT_MIN_ROWS, skew_join
 
 PART_SEGMENTS = 10_000
 
@@ -134,11 +135,9 @@ def transcript_only(utterances: DataFrame) -> DataFrame:
     return utterances.select(TID, "seq", "content", "start", "end", F.lit(True).alias("transcription_only"))
 
 
-def segment_keywords(metadata: DataFrame, k: int = 5) -> DataFrame:
+def segment_keywords(metadata: DataFrame, k: int = 5, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """The top TF-IDF terms of every segment within its transcript."""
     totals = metadata.groupBy(TID).agg(F.max("segment_id").alias("n_segments"))
-    units = (
-        metadata.select(TID, "segment_id", term_counts("transcript").alias("terms"))
-        .join(totals, TID)
-    )
-    return top_terms(units, "segment_id", "n_segments", k)
+    units = metadata.select(TID, "segment_id", term_counts("transcript").alias("terms"))
+    counted = skew_join(units, totals, [TID], spread=["segment_id"], min_rows=min_rows)
+    return top_terms(counted, "segment_id", "n_segments", k)

@@ -7,6 +7,7 @@ so a job that dies halfway and runs again leaves nothing twice.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.operators.intake import not_yet_done
+from seamline.operators.skew import skew_join
 from seamline.sources.transcripts import BUCKETS, bucket_of
 
 ANALYZED = ["video_id", "segment_id"]
@@ -88,7 +89,7 @@ class ThumbnailStore:
         """The current entries of every video."""
         log = self._entries()
         resets = log.groupBy("video_id").agg(F.max(F.when(F.col("op") != "append", F.col("step"))).alias("_since"))
-        current = log.filter("op <> 'clear'").join(resets, "video_id")
+        current = skew_join(log.filter("op <> 'clear'"), resets, ["video_id"])
         return current.filter(F.col("_since").isNull() | (F.col("step") >= F.col("_since"))).select("video_id", *self.FIELDS)
 
     def last_updated(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline import fixed_values as fixed
 from seamline.operators.annotation import native_annotation
+from seamline.operators.skew import skew_join
 from seamline.plans.transcript import segment_transcripts
 from seamline.sources.transcripts import BUCKETS, LINES, TRANSCRIPTS, bucket_of, exploded
 
@@ -57,7 +58,7 @@ class TranscriptIngest:
         """The newest segments of every transcript."""
         versions = self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/segments")
         newest = versions.groupBy("transcript_id").agg(F.max("batch").alias("batch"))
-        return versions.join(newest, ["transcript_id", "batch"], "left_semi").drop("batch")
+        return skew_join(versions, newest, ["transcript_id", "batch"], "left_semi", spread=["segment_id"]).drop("batch")
 
 
 def stream_transcript_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
