@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seamline import fixed_values as fixed
 from seamline.operators.ordered import SECONDS, asof_join, running_totals
 from seamline.operators.skew import HOT_MIN_ROWS, skew_join
+from seamline.session import written
 
 TRACK = "track_id"
 
@@ -18,7 +19,7 @@ def silence_intervals(
     A quiet row belongs to the number of loud rows before it, and the loud row that ends the stretch
     joins that number too: a running count and one grouping, however long the stretch.
     """
-    instants = levels.groupBy(TRACK, "t").agg(F.max("level_db").alias("level_db"))
+    instants = written(levels.groupBy(TRACK, "t").agg(F.max("level_db").alias("level_db")), "levels")
     loud = F.col("level_db") >= below
     counted = running_totals(
         instants, [TRACK], "t", {"_loud": loud.cast("long")}, width=width, split_hot=True, min_rows=min_rows

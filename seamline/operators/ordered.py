@@ -8,6 +8,7 @@ chunk, and the two are added by an equi-join on the chunk. The rows themselves a
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seamline.operators.skew import CHUNK, HOT_MIN_ROWS, PART, in_chunks, skew_join
+from seamline.session import written
 
 POSITIONS = 65_536
 SECONDS = 600.0
@@ -80,13 +81,14 @@ def asof_join(
     """Add to each left row `out`: `payload` of the last right row at or before `left_time`, null if there is none.
 
     Both sides are first reduced to distinct instants, so many rows at one instant cost one row in the
-    ordered pass; chunks crowded with distinct instants are cut at quantiles.
+    ordered pass; chunks crowded with distinct instants are cut at quantiles. The instants are stored
+    once, because sizing the chunks, summing them up and the pass itself all read them.
     """
     moments = left.select(*keys, F.col(left_time).alias("_t")).distinct().withColumn("_payload", F.lit(None))
     found = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(
         F.max_by(F.struct(*payload), F.struct(*payload) if ties is None else ties).alias("_payload")
     )
-    both = found.withColumn("_asked", F.lit(0)).unionByName(moments.withColumn("_asked", F.lit(1)))
+    both = written(found.withColumn("_asked", F.lit(0)).unionByName(moments.withColumn("_asked", F.lit(1))), "instants")
     answered = carry_forward(
         both, keys, "_t", F.col("_payload"), out, width, ties=["_asked"], split_hot=True, min_rows=min_rows
     ).filter("_asked = 1")

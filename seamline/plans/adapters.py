@@ -177,8 +177,12 @@ segments_cte("paper", "paper5_batches", "paper5_native")
 
 # Videos: one per user; segments are days, frames are events.
 SECONDS_DUCK = f"(epoch_us(ts) - {EPOCH}) / 1000000::DOUBLE"
-SECONDS_SPARK = f"(unix_micros(ts) - {EPOCH}) / CAST(1000000 AS DOUBLE)"
-cte("timed", f"SELECT *, CAST(user_id AS VARCHAR) AS video_id, {SECONDS_DUCK} AS t FROM events")
+# From the parts of the time of day, so that the session's time zone plays no role.
+SECONDS_SPARK = (
+    "((datediff(CAST(ts AS DATE), DATE'2024-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60) * 1000000 "
+    "+ CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT)) / CAST(1000000 AS DOUBLE)"
+)
+cte("timed", f"SELECT *, floor(t * 64) / 64 AS tick FROM (SELECT *, CAST(user_id AS VARCHAR) AS video_id, {SECONDS_DUCK} AS t FROM events)")
 DAY_COLUMNS = [
     "video_id", "CAST(day + 1 AS INT) AS segment_id", "day * CAST(86400 AS DOUBLE) AS start_time",
     "(day + 1) * CAST(86400 AS DOUBLE) AS end_time", "concat('day ', day, ' of ', video_id) AS transcript",
@@ -193,7 +197,7 @@ cte(
 
 
 def timed(spark, folder) -> DataFrame:
-    return table(spark, folder, "events").selectExpr("*", "CAST(user_id AS STRING) AS video_id", f"{SECONDS_SPARK} AS t")
+    return table(spark, folder, "events").selectExpr("*", "CAST(user_id AS STRING) AS video_id", f"{SECONDS_SPARK} AS t").selectExpr("*", "floor(t * 64) / CAST(64 AS DOUBLE) AS tick")
 
 
 def days(spark, folder) -> DataFrame:
@@ -227,9 +231,10 @@ cte(
 )
 ANALYSIS = "concat('saw frame ', frame_no, ' as ', frame_type)"
 
-# Audio: one track per user, its level falling with the event's value.
+# Audio: one track per user, its level falling with the event's value. Times are kept to 1/64 s, so that
+# sums and halves of them are exact in any order.
 LEVEL = "-value / 4"
-cte("levels", f"SELECT video_id AS track_id, t, max({LEVEL}) AS level_db FROM timed GROUP BY ALL", ["timed"])
+cte("levels", f"SELECT video_id AS track_id, tick AS t, max({LEVEL}) AS level_db FROM timed GROUP BY ALL", ["timed"])
 cte(
     "silences",
     """SELECT track_id, min(t) FILTER (silent) AS "start", coalesce(max(t) FILTER (NOT silent), max(t)) AS "end" FROM (
@@ -243,7 +248,7 @@ cte(
 
 
 def levels(spark, folder) -> DataFrame:
-    return timed(spark, folder).selectExpr("video_id AS track_id", "t", f"{LEVEL} AS level_db")
+    return timed(spark, folder).selectExpr("video_id AS track_id", "tick AS t", f"{LEVEL} AS level_db")
 
 
 def samples(spark, folder) -> DataFrame:

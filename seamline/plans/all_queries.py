@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from seamline.plans import transcript_queries  # noqa: F401
+from seamline.plans import detection_queries, frame_queries, intake_queries, transcript_queries  # noqa: F401
