@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seamline import fixed_values as fixed
-from seamline.functions.text import similarity, term_counts
-from seamline.operators.batching import LANE_BATCHES, TID
+from seamline.functions.arrays import bind
+from seamline.functions.text import counted_similarity, term_counts
+from seamline.operators.batching import LANE_BATCHES, TID, batches_in_lanes
 
 RESPONSES = "array<struct<topic:string,keywords:array<string>,relationship:string,confidence:double>>"
 
@@ -39,10 +40,20 @@ def top_terms(units: DataFrame, unit: str, count: str, k: int = 5) -> DataFrame:
     document frequency is counted per lane of units and totalled over the lanes, and joined back on
     the lane, so a term found everywhere in a huge transcript is still spread over many tasks.
     """
-    lane = F.floor(F.col(unit) / LANE_BATCHES).cast("long").alias("lane")
-    found = units.select(TID, unit, count, lane, F.explode("terms").alias("_t")).select(
-        TID, unit, "lane", count, F.col("_t.term").alias("term"), F.col("_t.n").alias("n")
-    )
+    lane = F.expr(f"{unit} div {LANE_BATCHES}").alias("lane")
+
+    def exploded(terms):
+        return units.select(TID, unit, count, lane, F.explode(terms).alias("_t")).select(
+            TID, unit, "lane", count, F.col("_t.term").alias("term"), F.col("_t.n").alias("n")
+        )
+
+    found = exploded(F.col("terms"))
+    # A weight lies between 1 and that of a term found once, so a term whose count cannot reach the
+    # k-th highest count even with the highest weight is out before any join.
+    highest = F.log((1 + F.col(count)) / 2) + 1
+    kth = F.coalesce(F.get(F.sort_array(F.transform("terms", lambda t: t["n"]), False), F.lit(k - 1)), F.lit(0))
+    least = (kth - 1e-5) / highest
+    likely = exploded(bind(least, lambda needed: F.filter("terms", lambda t: t["n"] >= needed)))
     per_lane = found.groupBy(TID, "term", "lane").agg(F.count(F.lit(1)).alias("_df"), F.max(count).alias("_units"))
     weights = per_lane.select(
         TID,
@@ -52,7 +63,7 @@ def top_terms(units: DataFrame, unit: str, count: str, k: int = 5) -> DataFrame:
     )
     best = W.partitionBy(TID, unit).orderBy(F.desc("score"), "term")
     return (
-        found.join(weights, [TID, "term", "lane"])
+        likely.join(weights, [TID, "term", "lane"])
         .select(TID, unit, "term", F.round(F.col("n") * F.col("idf"), 6).alias("score"))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
@@ -66,15 +77,24 @@ def keyword_lists(top: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def with_terms(batches: DataFrame) -> DataFrame:
-    """Batches with their term counts and their similarity to the batch before, worked out row by row."""
-    return batches.withColumn("terms", term_counts("content")).withColumn(
-        "sim", F.when(F.col("prev_content").isNotNull(), similarity("prev_content", "content"))
+def batches_with_terms(assigned: DataFrame, lane: int = LANE_BATCHES) -> DataFrame:
+    """Batches with their term counts (`terms`) and similarity to the batch just before (`sim`, null for the first).
+
+    Every batch is broken into terms once; what the next batch is compared with are those counts.
+    """
+    order = W.partitionBy(TID, "lane").orderBy("batch_id")
+    return (
+        batches_in_lanes(assigned, lane)
+        .withColumn("terms", term_counts("content"))
+        .withColumn("_before", F.lag("terms").over(order))
+        .filter(~F.col("_guest"))
+        .withColumn("sim", F.when(F.col("_before").isNotNull(), counted_similarity("_before", "terms")))
+        .drop("_before", "_guest", "lane")
     )
 
 
 def native_annotation(batches: DataFrame, new_below: float = 0.1, shift_below: float = 0.3, k: int = 5) -> DataFrame:
-    """Annotate batches (see `with_terms`) without a model.
+    """Annotate batches (see `batches_with_terms`) without a model.
 
     Keywords are the top TF-IDF terms and the topic is the first of them. The first batch is NEW with
     confidence 100; otherwise low similarity to the batch before means NEW or SHIFT.

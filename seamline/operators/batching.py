@@ -16,8 +16,8 @@ def assign_batches(utterances: DataFrame, size: int = fixed.BATCH_SIZE) -> DataF
     """Chunk each transcript, in `seq` order, into batches of `size`; adds `rn`, `batch_id`, `n_batches`."""
     return (
         numbered(utterances, [TID], "seq", "rn", total="_rows")
-        .withColumn("batch_id", F.floor((F.col("rn") - 1) / size).cast("long"))
-        .withColumn("n_batches", F.ceil(F.col("_rows") / size).cast("long"))
+        .withColumn("batch_id", F.expr(f"(rn - 1) div {size}"))
+        .withColumn("n_batches", F.expr(f"(_rows + {size - 1}) div {size}"))
         .drop("_rows")
     )
 
@@ -42,24 +42,25 @@ def combine_batches(assigned: DataFrame) -> DataFrame:
     return _combined(assigned.groupBy(TID, "batch_id").agg(F.max("n_batches").alias("n_batches"), _collected().alias("_said")))
 
 
-def _batches_in_lanes(assigned: DataFrame, lane: int) -> DataFrame:
+def batches_in_lanes(assigned: DataFrame, lane: int) -> DataFrame:
     """Batches laid out in lanes of `lane` consecutive ones, each lane also holding the last batch of the lane before.
 
     One shuffle by (transcript, lane) serves both the combining and whatever looks at neighbours inside
-    the lane. Batch ids are dense, so a lane has at most lane + 1 batches.
+    the lane. Batch ids are dense, so a lane has at most lane + 1 batches. `_guest` marks the batch of
+    the lane before.
     """
-    own = F.floor(F.col("batch_id") / lane).cast("long")
+    own = F.expr(f"batch_id div {lane}")
     places = F.when(F.col("batch_id") % lane == lane - 1, F.array(own, own + 1)).otherwise(F.array(own))
     spread = assigned.withColumn("lane", F.explode(places)).repartition(TID, "lane")
     grouped = spread.groupBy(TID, "lane", "batch_id").agg(F.max("n_batches").alias("n_batches"), _collected().alias("_said"))
-    return _combined(grouped).withColumn("_guest", F.floor(F.col("batch_id") / lane) != F.col("lane"))
+    return _combined(grouped).withColumn("_guest", F.expr(f"batch_id div {lane} <> lane"))
 
 
 def batches_with_previous(assigned: DataFrame, lane: int = LANE_BATCHES) -> DataFrame:
     """Batches with `prev_content`, the content of the batch just before (null for the first)."""
     order = W.partitionBy(TID, "lane").orderBy("batch_id")
     return (
-        _batches_in_lanes(assigned, lane)
+        batches_in_lanes(assigned, lane)
         .withColumn("prev_content", F.lag("content").over(order))
         .filter(~F.col("_guest"))
         .drop("_guest", "lane")
@@ -70,7 +71,7 @@ def batches_with_context(assigned: DataFrame, group: int = fixed.GROUP_SIZE) ->
     """Batches with `group_id` and `prev_content`, the content of the last batch of the group before (null in group 0)."""
     whole = W.partitionBy(TID, "lane")
     return (
-        _batches_in_lanes(assigned, group)
+        batches_in_lanes(assigned, group)
         .withColumn("prev_content", F.max(F.when(F.col("_guest"), F.col("content"))).over(whole))
         .filter(~F.col("_guest"))
         .drop("_guest")

@@ -7,6 +7,7 @@ queries are checked against. Expressions both engines read the same way are writ
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.fixed_values import STOP_WORDS
+from seamline.session import spread_out
 
 DAY = 86400.0
 EPOCH = 1704067200000000  # start of 2024 in microseconds
@@ -306,7 +307,7 @@ def names(spark, folder) -> DataFrame:
 
 
 def ocr_texts(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr(
+    return spread_out(table(spark, folder, "documents"), "doc_id").selectExpr(
         "CAST(doc_id AS STRING) AS frame_id", "doc_id AS text_no", "text",
         "CASE WHEN doc_id % 2 = 0 THEN NULL ELSE named_struct('x', CAST(doc_id % 640 AS INT), 'y', 0, 'w', 64, 'h', 16) END AS bbox",
         "CAST(doc_id % 100 AS DOUBLE) AS confidence",

@@ -5,15 +5,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from seamline import fixed_values as fixed
-from seamline.operators.annotation import native_annotation, with_terms
-from seamline.operators.batching import assign_batches, batches_with_previous
+from seamline.operators.annotation import batches_with_terms, native_annotation
+from seamline.operators.batching import assign_batches
 from seamline.operators.segmenting import decide_segments, merge_segments, segment_metadata
 from seamline.session import written
 
 
 def annotated_batches(utterances: DataFrame, size: int = fixed.BATCH_SIZE) -> DataFrame:
     """Batches with text, terms and similarity to the batch before, stored once for the branches that follow."""
-    return written(with_terms(batches_with_previous(assign_batches(utterances, size))).drop("prev_content"), "batches")
+    return written(batches_with_terms(assign_batches(utterances, size)), "batches")
 
 
 def segment_transcripts(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from seamline import fixed_values as fixed
-from seamline.functions.text import cleaned, sentences
+from seamline.functions.text import cleaned, sentences, similarity
 from seamline.operators import annotation, batching, prompts, segmenting, topics
 from seamline.plans.adapters import RESPONSE, paper, table, talk, with_ctes
 from seamline.plans.registry import query
@@ -86,7 +86,7 @@ def t3(spark, folder):
 )
 def t4(spark, folder):
     pairs = batching.batches_with_previous(batching.assign_batches(talk(spark, folder), 1))
-    return annotation.with_terms(pairs).filter("sim IS NOT NULL").select(TID, "batch_id", "sim")
+    return pairs.filter("prev_content IS NOT NULL").select(TID, "batch_id", similarity("prev_content", "content").alias("sim"))
 
 
 @query(
