@@ -32,6 +32,18 @@ def annotations_from_responses(responses: DataFrame) -> DataFrame:
     return responses.withColumn("_a", parse_response(F.col("response"))).select(TID, "batch_id", "_a.*")
 
 
+def completed_annotations(batches: DataFrame, annotation: DataFrame) -> DataFrame:
+    """An annotation for every batch: the fixed defaults where there is none, so that no batch is lost."""
+    return batches.select(TID, "batch_id").join(annotation, [TID, "batch_id"], "left").select(
+        TID,
+        "batch_id",
+        F.coalesce("topic", F.lit(fixed.UNREADABLE_TOPIC)).alias("topic"),
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+        F.coalesce("relationship", F.lit(fixed.UNREADABLE_RELATIONSHIP)).alias("relationship"),
+        F.coalesce("confidence", F.lit(fixed.UNREADABLE_CONFIDENCE)).alias("confidence"),
+    )
+
+
 def top_terms(units: DataFrame, unit: str, count: str, k: int = 5) -> DataFrame:
     """The `k` terms of highest TF-IDF of every unit (batch or segment) within its transcript.
 

@@ -219,4 +219,4 @@ def v14(spark, folder):
         F.col("transcript_id").alias(VID), (F.col("batch_id") + 1).cast("int").alias("segment_id"),
         F.col("start").alias("start_time"), F.col("end").alias("end_time"),
     )
-    return frames.transcript_context(frames.sampling_plan(spans), talk(spark, folder), 4.0)
+    return frames.transcript_context(written(frames.sampling_plan(spans), "samples"), talk(spark, folder), 4.0)

@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from seamline import fixed_values as fixed
-from seamline.operators.annotation import batches_with_terms, native_annotation
+from seamline.operators.annotation import annotations_from_responses, batches_with_terms, completed_annotations, native_annotation
 from seamline.operators.batching import assign_batches
-from seamline.operators.segmenting import decide_segments, merge_segments, segment_metadata
+from seamline.operators.segmenting import decide_segments, merge_segments, segment_metadata, segment_spans
 from seamline.session import written
 
 
@@ -23,10 +23,31 @@ def segment_transcripts(
 ) -> DataFrame:
     """The topic segments of every transcript: id, start, end, duration, topic, keywords, text.
 
-    `annotate` maps batches to (transcript_id, batch_id, topic, keywords, relationship, confidence).
+    `annotate` maps batches to (transcript_id, batch_id, topic, keywords, relationship, confidence); see
+    `annotate_from` for annotations that come from a table of model responses.
     Batches and annotations are stored in the shared folder between the steps: three branches read the
     first and two read the second, each only its own columns.
     """
     batches = annotated_batches(utterances, size)
     annotation = written(annotate(batches), "annotation")
     return segment_metadata(merge_segments(batches, decide_segments(annotation)))
+
+
+def annotate_from(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """An `annotate` that reads model responses (transcript_id, batch_id, response); batches without one get the defaults."""
+    return lambda batches: completed_annotations(batches, annotations_from_responses(responses))
+
+
+def segment_spans_of(
+    utterances: DataFrame, size: int = fixed.BATCH_SIZE, annotate: Callable[[DataFrame], DataFrame] = native_annotation
+) -> tuple[DataFrame, DataFrame]:
+    """The same segments without their text as one cell, for transcripts whose segments are too long for one.
+
+    Returns (segments, batches with their segment_id); ordered by batch_id the batches are the text.
+    """
+    batches = annotated_batches(utterances, size)
+    decided = decide_segments(written(annotate(batches), "annotation"))
+    placed = batches.select("transcript_id", "batch_id", "start", "end", "content").join(
+        decided.select("transcript_id", "batch_id", "segment_id"), ["transcript_id", "batch_id"]
+    )
+    return segment_spans(batches, decided), placed

@@ -27,11 +27,20 @@ def s1(spark, folder):
     return transcripts.read_transcript_lines(spark, path)
 
 
-@query("s2_asr_utterances", with_ctes(["paper"], "SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY seq) - 1 AS BIGINT) AS seq, content, \"start\", \"end\" FROM paper"))
+@query(
+    "s2_asr_utterances",
+    with_ctes(
+        ["paper"],
+        """SELECT concat(transcript_id, '#', seq // 512) AS transcript_id,
+          CAST(row_number() OVER (PARTITION BY transcript_id, seq // 512 ORDER BY seq) - 1 AS BIGINT) AS seq, content, "start", "end" FROM paper""",
+    ),
+)
 def s2(spark, folder):
+    # A response for every 512 lines of a document.
     entry = F.struct("seq", F.struct(F.col("content").alias("transcript"), "start", "end").alias("u"))
     listed = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["u"])
-    responses = paper(spark, folder).groupBy(TID).agg(F.struct(listed.alias("utterances")).alias("results"))
+    parts = paper(spark, folder).withColumn(TID, F.expr("concat(transcript_id, '#', seq div 512)"))
+    responses = parts.groupBy(TID).agg(F.struct(listed.alias("utterances")).alias("results"))
     path = scratch_folder(spark, "asr")
     transcripts.save_raw_responses(responses, path)
     return transcripts.flatten_asr(transcripts.read_asr(spark, path))
@@ -189,7 +198,7 @@ def t9(spark, folder):
     ),
 )
 def t9_shared(spark, folder):
-    grouped = batching.batches_with_context(batching.assign_batches(paper(spark, folder)))
+    grouped = written(batching.batches_with_context(batching.assign_batches(paper(spark, folder))), "batches")
     answers = batching.distinct_requests(grouped).selectExpr("request_id", "concat(uses, ' x ', length(content)) AS answer")
     return batching.share_answers(grouped, answers).select(TID, "batch_id", "answer")
 

@@ -4,7 +4,7 @@ Every write is a new folder named by the caller's run id, replaced as a whole if
 so a job that dies halfway and runs again leaves nothing twice.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seamline.operators.intake import not_yet_done
 from seamline.operators.skew import skew_join
@@ -32,20 +32,26 @@ class SegmentStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def load(self) -> DataFrame:
+    def _runs(self) -> DataFrame:
+        placed = T.StructType([*self.schema.fields, T.StructField("run", T.StringType()), T.StructField("bucket", T.IntegerType())])
         if not self._exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+            return self.spark.createDataFrame([], placed)
+        return self.spark.read.schema(placed).parquet(self.path)
+
+    def load(self) -> DataFrame:
+        return self._runs().drop("run", "bucket")
 
     def append_new(self, analyzed: DataFrame, run: str) -> None:
-        """Add the segments that are not stored yet, as run `run`."""
-        others = self.load()
-        if self._exists():
-            others = others.filter(~F.contains(F.col("_metadata.file_path"), F.lit(f"/run={run}/")))
-        fresh = not_yet_done(analyzed, others, ANALYZED)
-        fresh.withColumn("bucket", bucket_of("video_id", self.buckets)).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.path}/run={run}"
-        )
+        """Add the segments that are not stored yet, as run `run`.
+
+        Only folders of the buckets at hand are read, and of those only the keys.
+        """
+        placed = analyzed.withColumn("bucket", bucket_of("video_id", self.buckets))
+        # At most `buckets` rows, whatever the data.
+        at_hand = F.broadcast(placed.select("bucket").distinct())
+        others = self._runs().filter(F.col("run") != run).join(at_hand, "bucket", "left_semi")
+        fresh = not_yet_done(placed, others, ANALYZED)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/run={run}")
 
 
 class ThumbnailStore:

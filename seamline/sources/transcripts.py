@@ -2,11 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seamline.operators.ordered import numbered
+
 UTTERANCE = "struct<content:string,start:double,end:double>"
 ASR = "transcript_id string, results struct<utterances: array<struct<transcript:string,start:double,end:double>>>"
-LINES = f"transcript_id string, utterances array<{UTTERANCE}>"
+LINES = f"transcript_id string, first bigint, utterances array<{UTTERANCE}>"
 TRANSCRIPTS = "transcript_id string, seq bigint, content string, start double, end double"
 BUCKETS = 256
+PART_UTTERANCES = 10_000
 
 
 def bucket_of(key: str, buckets: int = BUCKETS):
@@ -15,9 +18,10 @@ def bucket_of(key: str, buckets: int = BUCKETS):
 
 
 def exploded(arrays: DataFrame) -> DataFrame:
-    """One row per array element; its place in the array becomes `seq`."""
-    return arrays.select("transcript_id", F.posexplode("utterances").alias("seq", "_u")).select(
-        "transcript_id", F.col("seq").cast("long").alias("seq"), "_u.content", "_u.start", "_u.end"
+    """One row per array element; its place, counted from `first` if there is such a column, becomes `seq`."""
+    first = F.coalesce("first", F.lit(0)) if "first" in arrays.columns else F.lit(0)
+    return arrays.select("transcript_id", first.alias("_first"), F.posexplode("utterances").alias("_at", "_u")).select(
+        "transcript_id", (F.col("_first") + F.col("_at")).cast("long").alias("seq"), "_u.content", "_u.start", "_u.end"
     )
 
 
@@ -34,17 +38,22 @@ def read_transcript_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcript_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Many transcripts per file, one JSON object {transcript_id, utterances: [...]} per line."""
+    """Many transcripts per file: a JSON object {transcript_id, utterances: [...]} per line.
+
+    A transcript may come as several lines, each with the position of its `first` utterance.
+    """
     return exploded(spark.read.schema(LINES).json(path))
 
 
-def write_transcript_lines(utterances: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The form `read_transcript_lines` reads: one object per transcript, its utterances in order."""
-    entry = F.struct("seq", F.struct("content", "start", "end").alias("u"))
-    listed = utterances.groupBy("transcript_id").agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["u"]).alias("utterances")
+def write_transcript_lines(utterances: DataFrame, path: str, mode: str = "errorifexists", part: int = PART_UTTERANCES) -> None:
+    """The form `read_transcript_lines` reads; a line holds at most `part` utterances, so no transcript is too long."""
+    entry = F.struct("_rn", F.struct("content", "start", "end").alias("u"))
+    placed = numbered(utterances, ["transcript_id"], "seq", "_rn").withColumn("_part", F.expr(f"(_rn - 1) div {part}"))
+    listed = placed.groupBy("transcript_id", "_part").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    lines = listed.select(
+        "transcript_id", (F.col("_part") * part).alias("first"), F.transform("_all", lambda e: e["u"]).alias("utterances")
     )
-    listed.write.mode(mode).json(path)
+    lines.write.mode(mode).json(path)
 
 
 def read_asr(spark: SparkSession, path: str) -> DataFrame:

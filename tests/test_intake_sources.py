@@ -61,6 +61,11 @@ def test_transcript_files_and_catalog(spark, tmp_path):
     got = transcripts.read_transcript_files(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.transcript_id, r.seq, r.content) for r in got] == [("talk.v1", i, f"c{i}") for i in range(12)]
 
+    utterances = spark.createDataFrame([("t", i * 2, f"c{i}", float(i), i + 1.0) for i in range(25)], transcripts.TRANSCRIPTS)
+    transcripts.write_transcript_lines(utterances, str(tmp_path / "lines"), part=10)
+    back = transcripts.read_transcript_lines(spark, str(tmp_path / "lines")).orderBy("seq").collect()
+    assert [(r.seq, r.content) for r in back] == [(i, f"c{i}") for i in range(25)]
+
     answers = tmp_path / "asr"
     answers.mkdir()
     one = {"transcript_id": "a", "metadata": {"x": 1}, "results": {"utterances": [{"transcript": "hi", "start": 0.5, "end": 1.0, "speaker": 2}]}}

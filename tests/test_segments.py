@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed_values as fixed
 from seamline.operators import annotation, batching, prompts, segmenting
-from seamline.plans.transcript import segment_transcripts
+from seamline.plans.transcript import annotate_from, segment_spans_of, segment_transcripts
 
 UTT = "transcript_id string, seq long, content string, start double, end double"
 
@@ -154,3 +154,13 @@ def test_no_cartesian_product_or_python_in_the_flagship(spark):
     found = segment_transcripts(talk(spark, 20), 2)
     plan = found._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "NestedLoop" not in plan
+
+
+def test_responses_that_never_came_lose_no_batch(spark):
+    answer = '{"topic":"x","keywords":["k"],"relationship":"NEW","confidence":99}'
+    responses = spark.createDataFrame([("a", 0, answer), ("a", 3, answer)], "transcript_id string, batch_id long, response string")
+    got = segment_transcripts(talk(spark, 10), 2, annotate_from(responses)).orderBy("segment_id").collect()
+    assert [(r.start_time, r.end_time, r.dominant_topic) for r in got] == [(0.0, 5.5, "x"), (6.0, 9.5, "x")]
+    spans, placed = segment_spans_of(talk(spark, 10), 2, annotate_from(responses))
+    assert sorted((r.start, r.end) for r in spans.collect()) == [(0.0, 5.5), (6.0, 9.5)]
+    assert " ".join(r.content for r in placed.filter("segment_id = 2").orderBy("batch_id").collect()) == got[1].transcript
