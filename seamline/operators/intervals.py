@@ -2,9 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from seamline.operators.skew import HOT_MIN_ROWS, skew_join
-
-BUCKET = "_bucket"
+from seamline.operators.skew import CHUNK, HOT_MIN_ROWS, PART, chunk_of, crowded_cuts, cuts_before, in_chunks, skew_join
 
 
 def interval_join(
@@ -12,13 +10,18 @@ def interval_join(
 ) -> DataFrame:
     """Pairs of a point and a span of the same key with start <= time < end (`closed`: <= end).
 
-    Spans are repeated for each bucket of `width` seconds they touch, so this is an equi-join on (key,
-    bucket) and a point meets only spans near it; choose `width` near the usual span length. Crowded
-    buckets are spread over several tasks.
+    Spans are repeated for each chunk of `width` seconds they touch, so this is an equi-join on (key,
+    chunk) and a point meets only spans near it; choose `width` near the usual span length. Chunks
+    crowded with points are cut at quantiles, and spans go only to the pieces they touch. Copies of
+    one instant or of one span, which no cut tells apart, are spread over several tasks.
     """
-    placed = points.withColumn(BUCKET, F.floor(F.col(time) / width).cast("long"))
-    touched = F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))
-    covering = spans.filter(F.col(start) <= F.col(end)).withColumn(BUCKET, F.explode(touched))
+    place = [*keys, CHUNK]
+    placed = in_chunks(points, keys, time, width, True, min_rows)
+    touched = F.sequence(chunk_of(start, width), chunk_of(end, width))
+    covering = spans.filter(F.col(start) <= F.col(end)).withColumn(CHUNK, F.explode(touched))
+    cuts = F.broadcast(crowded_cuts(points, keys, time, width, min_rows))
+    pieces = F.sequence(cuts_before(start), cuts_before(end))
+    covering = covering.join(cuts, place, "left").withColumn(PART, F.explode(pieces)).drop("_cuts")
+    pairs = skew_join(placed, covering, [*place, PART], spread=spread, right_spread=spans.columns, min_rows=min_rows)
     within = (F.col(time) <= F.col(end)) if closed else (F.col(time) < F.col(end))
-    pairs = skew_join(placed, covering, [*keys, BUCKET], "inner", spread=spread, min_rows=min_rows)
-    return pairs.filter((F.col(start) <= F.col(time)) & within).drop(BUCKET)
+    return pairs.filter((F.col(start) <= F.col(time)) & within).drop(CHUNK, PART)

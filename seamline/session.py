@@ -28,6 +28,8 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared checkpoint folder (a local one only where none is set)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/seamline/{name}-{uuid.uuid4().hex}"
 

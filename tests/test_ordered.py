@@ -31,6 +31,13 @@ def test_skew_join_is_the_plain_join(spark, timeline, rows, how):
     assert rows(skew_join(timeline, right, ["k"], how, min_rows=20)) == rows(timeline.join(right, ["k"], how))
 
 
+def test_both_sides_hot(spark, timeline, rows):
+    right = spark.createDataFrame([("hot", i) for i in range(30)] + [("k1", 50), ("none", 60)], "k string, w int")
+    left = timeline.select("k", "id")
+    got = skew_join(left, right, ["k"], spread=["id"], right_spread=["w"], min_rows=10)
+    assert rows(got) == rows(left.join(right, ["k"]))
+
+
 def test_hot_chunks_are_cut(timeline):
     placed = in_chunks(timeline, ["k"], "t", 100.0, True, 50)
     biggest = placed.groupBy("k", "_chunk", "_part").count().agg(F.max("count")).first()[0]
@@ -81,7 +88,8 @@ def test_asof_join_matches_brute_force(spark, timeline):
 @pytest.mark.parametrize("closed", [False, True])
 def test_interval_join_matches_a_theta_join(spark, timeline, rows, closed):
     spans = [("hot", 1, 0.0, 50.5), ("hot", 2, 50.25, 51.0), ("hot", 3, 10.0, 10.0), ("k1", 4, 0.0, 900.0), ("k2", 5, 30.0, 20.0)]
-    spans += [("hot", r.id + 100, r.t, r.t + 1) for r in timeline.filter("k = 'hot'").limit(20).collect()]
+    spans += [("hot", r.id + 100, r.t, r.t + 0.01) for r in timeline.filter("k = 'hot'").limit(60).collect()]
+    spans += [("hot", 1000 + i, 50.1, 50.2) for i in range(40)]
     right = spark.createDataFrame(spans, "k string, s long, a double, b double")
     got = interval_join(timeline, right, ["k"], "t", "a", "b", 25.0, closed=closed, spread=["id"], min_rows=30)
     upper = F.col("t") <= F.col("b") if closed else F.col("t") < F.col("b")
