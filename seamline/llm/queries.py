@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can say it."""
 
-from seamline.llm import bpe, exact_dedup, packing, token_counts
+from seamline.llm import bpe, exact_dedup, nearest, packing, token_counts
 from seamline.llm.tables import table
 
 
@@ -16,11 +16,15 @@ def op7_exact_dedup(spark, folder):
     return exact_dedup.copies(table(spark, folder, "documents"))
 
 
+def op8_nearest(spark, folder):
+    return nearest.nearest(table(spark, folder, "embeddings"), "id % 20 = 0")
+
+
 def op9_bpe(spark, folder):
     return bpe.encoded(table(spark, folder, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op7_exact_dedup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op7_exact_dedup, op8_nearest, op9_bpe)}
 
 ORACLES = {
     "op7_exact_dedup": """
