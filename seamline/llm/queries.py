@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can say it."""
 
-from seamline.llm import bpe, exact_dedup, nearest, packing, token_counts
+from seamline.llm import bpe, exact_dedup, nearest, packing, quality, token_counts, toxicity
 from seamline.llm.tables import table
 
 
@@ -8,6 +8,10 @@ def op1_token_counts(spark, folder):
     return token_counts.counted(table(spark, folder, "documents"), prefixes=False)
 
 
+def op2_quality(spark, folder):
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_best_fit_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
 
@@ -24,7 +28,11 @@ def op9_bpe(spark, folder):
     return bpe.encoded(table(spark, folder, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op7_exact_dedup, op8_nearest, op9_bpe)}
+def op10_toxicity(spark, folder):
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_best_fit_packing, op7_exact_dedup, op8_nearest, op9_bpe, op10_toxicity)}
 
 ORACLES = {
     "op7_exact_dedup": """
