@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can say it."""
 
-from seamline.llm import bpe, exact_dedup, near_dedup, nearest, packing, quality, token_counts, toxicity
+from seamline.llm import bpe, exact_dedup, near_dedup, nearest, packing, personal_data, quality, token_counts, toxicity
 from seamline.llm.tables import table
 
 
@@ -20,6 +20,10 @@ def op5_near_dedup(spark, folder):
     return near_dedup.classes(table(spark, folder, "documents"))
 
 
+def op6_personal_data(spark, folder):
+    return personal_data.spans(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.copies(table(spark, folder, "documents"))
 
@@ -36,7 +40,7 @@ def op10_toxicity(spark, folder):
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_best_fit_packing, op5_near_dedup, op7_exact_dedup, op8_nearest, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_best_fit_packing, op5_near_dedup, op6_personal_data, op7_exact_dedup, op8_nearest, op9_bpe, op10_toxicity)}
 
 ORACLES = {
     "op7_exact_dedup": """
