@@ -70,7 +70,7 @@ def copies(docs: DataFrame) -> DataFrame:
     single = rows.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = rows.filter("suspect").drop("suspect")
     groups = suspects.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "tag")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    several = suspects.join(groups, "text_sha256").select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("tag") == F.col("top.tag")).alias("kept"), "text_sha256")
+    several = suspects.join(small_side(written(groups, "groups")), "text_sha256").select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("tag") == F.col("top.tag")).alias("kept"), "text_sha256")
     return single.unionByName(several)
 
 

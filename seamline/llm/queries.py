@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can say it."""
 
-from seamline.llm import bpe, exact_dedup, near_dedup, nearest, packing, personal_data, quality, token_counts, toxicity
+from seamline.llm import bpe, exact_dedup, near_dedup, nearest, packing, personal_data, quality, repeats, token_counts, toxicity
 from seamline.llm.tables import table
 
 
@@ -12,6 +12,10 @@ def op2_quality(spark, folder):
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_repeated_passages(spark, folder):
+    return repeats.without_repeats(table(spark, folder, "documents"), digest=True)
+
+
 def op4_best_fit_packing(spark, folder):
     return packing.packed(table(spark, folder, "documents"))
 
@@ -40,7 +44,7 @@ def op10_toxicity(spark, folder):
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_best_fit_packing, op5_near_dedup, op6_personal_data, op7_exact_dedup, op8_nearest, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_repeated_passages, op4_best_fit_packing, op5_near_dedup, op6_personal_data, op7_exact_dedup, op8_nearest, op9_bpe, op10_toxicity)}
 
 ORACLES = {
     "op7_exact_dedup": """
