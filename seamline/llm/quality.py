@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seamline.llm.fast_words import mixed, slabs, words
 from seamline.llm.tables import texts
@@ -228,17 +229,28 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality", fol
     return Network(x[order], y[order]) if len(np.unique(y)) == 2 else Share(y)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, fold: int = 0) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+def with_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
+    """`row` (all columns of `docs`) and `score`."""
     context = docs.sparkSession.sparkContext
     vectors = context.broadcast(word_vectors(docs))
     model = context.broadcast(fit(docs, labels, vectors, folds=folds, fold=fold))
-    key = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches):
         for batch in batches:
             found = [model.value.score(pooled(slab, vectors.value)) for slab in slabs(encoded_texts(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["row", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(score, StructType([StructField("row", docs.schema), StructField("score", DoubleType())]))
+
 
-    rows = texts(docs).mapInArrow(score, f"doc_id {key}, score double")
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, fold: int = 0) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted."""
+    rows = with_scores(docs.select("doc_id", "text"), labels, folds, fold).select("row.doc_id", "score")
     return rows.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without the rows that the classifier rejects. All columns of `docs`, and only those, come back."""
+    rows = with_scores(docs, labels).filter(F.col("score") >= threshold)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
