@@ -16,7 +16,7 @@ def suffix_order(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     """Rows in the order of their suffixes, by doubling; and for each row whether its suffix and the one above agree in `least` symbols."""
     n = len(codes)
     bits = int(codes.max()).bit_length() + 1
-    step = max(1, 63 // bits)
+    step = max(1, min(63 // bits, least))
     padded = np.concatenate([codes + 1, np.zeros(step, np.int64)])
     key = np.zeros(n, np.int64)
     for i in range(step):
