@@ -41,10 +41,6 @@ DENSE, OFTEN, SPARSE = (0.01, 0.03), 4, 0.003
 _PIECE = "slice int, sums binary"
 
 
-def _lower(batch) -> list[bytes]:
-    return [t.as_py().lower().encode() for t in batch.column("text")]
-
-
 def terms(slab):
     """(text, term bucket, kind) of every word and its beginnings, and the number of words of each text."""
     w = words(slab)
@@ -73,7 +69,7 @@ def term_counts(sample: DataFrame) -> np.ndarray:
         sums = None
         for batch in batches:
             labels = batch.column("label").to_numpy()
-            for slab in slabs(_lower(batch)):
+            for slab in slabs(batch.column("text"), lower=True):
                 text, term, _, _ = _distinct(*terms(slab)[:2])
                 if sums is None:
                     sums = np.zeros(2 * TERMS, np.int64)
@@ -145,7 +141,6 @@ class LabelModel:
             by_class = np.stack([posterior, 1 - posterior])
             mass = by_class.sum(axis=1)[:, None]
             self.rates = np.stack([(by_class @ x + 0.5) / (mass + 1.5) for x in is_vote])  # vote, class, voter
-            self.prior = float(np.clip(posterior.mean(), prior / 4, min(0.5, prior * 4)))
             if step in (10, 30):
                 self.weight = self._weights(is_vote, by_class)
             posterior = self.posterior(votes)
@@ -157,7 +152,7 @@ class LabelModel:
         left = np.zeros_like(signed)
         for c in by_class:
             left += c[:, None] * (signed - (c @ signed) / max(c.sum(), 1e-9))
-        spread = left.std(axis=0) + 1e-9
+        spread = left.std(axis=0) + 0.02  # what the classes explain all but wholly isn't correlated
         agree = np.clip((left / spread).T @ (left / spread) / len(left), 0, 1)
         np.fill_diagonal(agree, 0)
         return 1 / (1 + agree.sum(axis=1))
@@ -207,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
 
     def look(batches):
         for batch in batches:
-            for slab in slabs(_lower(batch)):
+            for slab in slabs(batch.column("text"), lower=True):
                 (text, feature, value), votes = sent.value.look(slab)
                 order = np.argsort(text, kind="stable")
                 cuts = np.searchsorted(text[order], np.arange(slab.texts + 1))
@@ -231,7 +226,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fol
 
     def score(batches):
         for batch in batches:
-            found = [model.value.score(slab) for slab in slabs(_lower(batch))]
+            found = [model.value.score(slab) for slab in slabs(batch.column("text"), lower=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
 
     rows = texts(docs).mapInArrow(score, f"doc_id {key}, score double")
