@@ -100,7 +100,7 @@ def batches_with_terms(assigned: DataFrame, lane: int = LANE_BATCHES) -> DataFra
         .withColumn("terms", term_counts("content"))
         .withColumn("_before", F.lag("terms").over(order))
         .filter(~F.col("_guest"))
-        .withColumn("sim", F.when(F.col("_before").isNotNull(), counted_similarity("_before", "terms")))
+        .withColumn("sim", F.when(F.col("_before").isNotNull(), counted_similarity("_before", "terms", None)))
         .drop("_before", "_guest", "lane")
     )
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seamline import fixed_values as fixed
 from seamline.operators.ordered import SECONDS, asof_join, running_totals
-from seamline.operators.skew import HOT_MIN_ROWS, skew_join
+from seamline.operators.skew import HOT_MIN_ROWS
 from seamline.session import written
 
 TRACK = "track_id"
@@ -125,10 +125,13 @@ def mono_resampled(samples: DataFrame, rate: float = fixed.SAMPLE_RATE) -> DataF
 
 
 def normalized(
-    samples: DataFrame, target: float, gain_db: float = fixed.GAIN_DB, spread=None, min_rows: int = HOT_MIN_ROWS
+    samples: DataFrame, target: float, gain_db: float = fixed.GAIN_DB
 ) -> DataFrame:
-    """Scale each track to the RMS level `target`, then apply the gain; silent tracks stay silent."""
+    """Scale each track to the RMS level `target`, then apply the gain; silent tracks stay silent.
+
+    The right side has one row per track; adaptive execution splits a hot track's samples and repeats that row.
+    """
     rms = samples.groupBy(TRACK).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("_rms"))
     factor = F.when(F.col("_rms") > 0, target / F.col("_rms")).otherwise(1.0) * (10 ** (gain_db / 20))
-    joined = skew_join(samples, rms, [TRACK], spread=spread, min_rows=min_rows)
+    joined = samples.join(rms, [TRACK])
     return joined.withColumn("x", F.round(F.col("x") * factor, 6)).drop("_rms")

@@ -128,17 +128,19 @@ def roll_up_segments(segments: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def scene_changes(frames: DataFrame, above: float) -> DataFrame:
-    """Frames whose mean absolute pixel difference to the frame before exceeds `above`."""
+    """Frames whose mean absolute pixel difference to the frame before exceeds `above`, or whose size differs (`difference` null)."""
     before = carry_forward(
         frames.select(VID, "frame_no", "ts", "pixels"), [VID], "frame_no", F.col("pixels"), "_before",
         width=SCENE_CHUNK_FRAMES, current=False,
     )
     gaps = F.zip_with(F.flatten("pixels"), F.flatten("_before"), lambda a, b: F.abs(a - b))
     mean = F.aggregate(gaps, F.lit(0.0), lambda acc, d: acc + d) / F.size(gaps)
+    shape = lambda name: F.transform(name, lambda row: F.size(row))
+    same = shape("pixels") == shape("_before")
     return (
         before.filter(F.col("_before").isNotNull())
-        .withColumn("difference", F.round(mean, 6))
-        .filter(F.col("difference") > above)
+        .withColumn("difference", F.when(same, F.round(mean, 6)))
+        .filter(~same | (F.col("difference") > above))
         .select(VID, "frame_no", "ts", "difference")
     )
 

@@ -14,6 +14,13 @@ POSITIONS = 65_536
 SECONDS = 600.0
 
 
+def same_place(left: DataFrame, right: DataFrame, place) -> DataFrame:
+    """Equi-join on `place` in which null equals null, so rows without a key or an order stay."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in place})
+    alike = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in place]
+    return left.join(renamed, alike).drop(*[f"_r_{c}" for c in place])
+
+
 def _across(keys):
     return W.partitionBy(*keys).orderBy(CHUNK, PART)
 
@@ -38,7 +45,7 @@ def running_totals(
     )
     inside = W.partitionBy(*place).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumns({f"_inside_{name}": F.sum(f"_value_{name}").over(inside) for name in sums})
-    return local.join(before, place).select(
+    return same_place(local, before, place).select(
         *df.columns,
         *[(F.col(f"_inside_{name}") + F.col(f"_before_{name}")).alias(name) for name in sums],
         *totals,
@@ -67,8 +74,7 @@ def carry_forward(
     )
     inside = W.partitionBy(*place).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0 if current else -1)
     return (
-        rows.withColumn("_inside", F.last("_value", True).over(inside))
-        .join(carried, place)
+        same_place(rows.withColumn("_inside", F.last("_value", True).over(inside)), carried, place)
         .withColumn(out, F.coalesce("_inside", "_carried"))
         .drop(CHUNK, PART, "_value", "_inside", "_carried")
     )

@@ -10,7 +10,6 @@ from seamline.operators.batching import TID
 from seamline.operators.ordered import running_totals
 from seamline.operators.skew import HOT_MIN_ROWS, skew_join
 
-PART_SEGMENTS = 10_000
 
 
 def decide_segments(
@@ -83,22 +82,20 @@ def topic_list(metadata: DataFrame) -> DataFrame:
     )
 
 
-def results_documents(metadata: DataFrame, register: str = "gen-ai", part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """The results document of each transcript: topics, segments, register.
+def results_documents(metadata: DataFrame, register: str = "gen-ai") -> DataFrame:
+    """The results document of each transcript, one row whatever its size: topics, segments, register.
 
-    A transcript of more than `part_segments` segments comes as several documents, numbered by `part`,
-    whose arrays follow on from each other; nothing is left out and no array grows without bound.
+    For transcripts whose document doesn't fit a cell use the rows of `topic_list` and of the metadata themselves.
     """
     fields = ["segment_id", "start_time", "end_time", "duration", "dominant_topic", "top_keywords", "transcript"]
-    part = F.floor((F.col("segment_id") - 1) / part_segments).cast("int").alias("part")
-    gathered = metadata.groupBy(TID, part).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("segments"))
+    gathered = metadata.groupBy(TID).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("segments"))
     topics = F.transform(
         "segments",
         lambda s: F.struct(
             (s["segment_id"] - 1).alias("topic_id"), s["dominant_topic"].alias("topic"), s["top_keywords"].alias("words")
         ),
     )
-    return gathered.select(TID, "part", topics.alias("topics"), "segments", F.lit(register).alias("register"))
+    return gathered.select(TID, topics.alias("topics"), "segments", F.lit(register).alias("register"))
 
 
 def report_lines(metadata: DataFrame) -> DataFrame:

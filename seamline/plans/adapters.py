@@ -7,7 +7,6 @@ queries are checked against. Expressions both engines read the same way are writ
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.fixed_values import STOP_WORDS
-from seamline.session import spread_out
 
 DAY = 86400.0
 EPOCH = 1704067200000000  # start of 2024 in microseconds
@@ -100,8 +99,7 @@ for source, size in (("talk", 2), ("talk", 1), ("paper", 5)):
         f"""SELECT transcript_id, batch_id, term, sum(a) AS a, sum(b) AS b FROM (
         SELECT transcript_id, batch_id + 1 AS batch_id, term, n AS a, 0 AS b FROM {source}{size}_tf WHERE batch_id + 1 < n_batches
         UNION ALL SELECT transcript_id, batch_id, term, 0, n FROM {source}{size}_tf WHERE batch_id > 0)
-        GROUP BY transcript_id, batch_id, term
-        QUALIFY row_number() OVER (PARTITION BY transcript_id, batch_id ORDER BY sum(a) + sum(b) DESC, term) <= 1000""",
+        GROUP BY transcript_id, batch_id, term""",
         [f"{source}{size}_tf"],
     )
     cte(
@@ -287,9 +285,8 @@ cte(
     ["pixels", "logo_pixels"],
 )
 
-# Recognised text: the documents; names to look for: the first three words of each benchmark text.
-NAME_SPARK = "array_join(slice(split(text, ' '), 1, 3), ' ')"
-cte("names", "SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS software FROM benchmark")
+# Recognised text: the documents; names to look for: the lines of the benchmark texts, whole.
+cte("names", "SELECT DISTINCT s AS software FROM (SELECT unnest(string_split(text, chr(10))) AS s FROM benchmark) WHERE s <> ''")
 cte(
     "ocr",
     """SELECT CAST(doc_id AS VARCHAR) AS frame_id, doc_id AS text_no, text, doc_id % 2 = 0 AS whole,
@@ -303,11 +300,11 @@ cte(
 
 
 def names(spark, folder) -> DataFrame:
-    return table(spark, folder, "benchmark").selectExpr(f"{NAME_SPARK} AS software").distinct()
+    return table(spark, folder, "benchmark").select(F.explode(F.split("text", "\n")).alias("software")).filter("software <> ''").distinct()
 
 
 def ocr_texts(spark, folder) -> DataFrame:
-    return spread_out(table(spark, folder, "documents"), "doc_id").selectExpr(
+    return table(spark, folder, "documents").selectExpr(
         "CAST(doc_id AS STRING) AS frame_id", "doc_id AS text_no", "text",
         "CASE WHEN doc_id % 2 = 0 THEN NULL ELSE named_struct('x', CAST(doc_id % 640 AS INT), 'y', 0, 'w', 64, 'h', 16) END AS bbox",
         "CAST(doc_id % 100 AS DOUBLE) AS confidence",

@@ -187,7 +187,7 @@ def v11(spark, folder):
       * pow(10::DOUBLE, -3::DOUBLE / 20)), 6) AS x FROM timed"""),
 )
 def v12(spark, folder):
-    return audio.normalized(samples(spark, folder), 0.25, spread=["event_id"]).select("event_id", "track_id", "t", "x")
+    return audio.normalized(samples(spark, folder), 0.25).select("event_id", "track_id", "t", "x")
 
 
 @query(

@@ -22,9 +22,24 @@ def flat(metadata):
 
 @query("s1_transcript_files", with_ctes(["talk"], f"SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY seq) - 1 AS BIGINT) AS seq, content, \"start\", \"end\" FROM talk"))
 def s1(spark, folder):
+    """One folder for each transcript, as projects have them; files of different folders have equal names."""
     path = scratch_folder(spark, "transcripts")
-    transcripts.write_transcript_lines(talk(spark, folder), path)
-    return transcripts.read_transcript_lines(spark, path)
+    listed = talk(spark, folder).groupBy("transcript_id").agg(F.sort_array(F.collect_list(F.struct("seq", "content", "start", "end"))).alias("u"))
+    texts = listed.select(F.col("transcript_id").alias("project"), F.to_json(F.transform("u", lambda e: F.struct(e["content"].alias("content"), e["start"].alias("start"), e["end"].alias("end")))).alias("value"))
+    texts.write.partitionBy("project").text(path)
+    found = transcripts.read_transcript_files(spark, path, "part-*")
+    return found.withColumn("transcript_id", F.regexp_replace(transcripts.project_of(F.col("transcript_id")), "^project=", ""))
+
+
+@query(
+    "s1_transcript_defects",
+    """SELECT CAST(conv_id AS VARCHAR) AS transcript_id, CASE conv_id % 3 WHEN 0 THEN 'no utterances' ELSE 'not an array of utterances' END AS problem
+    FROM conversations WHERE conv_id % 3 < 2 GROUP BY conv_id""",
+)
+def s1_defects(spark, folder):
+    each = table(spark, folder, "conversations").groupBy("conv_id").agg(F.min("text").alias("text"))
+    value = F.expr("CASE conv_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN text ELSE to_json(array(named_struct('content', text, 'start', 0D, 'end', 1D))) END")
+    return transcripts.transcript_defects(each.select(F.col("conv_id").cast("string").alias("transcript_id"), value.alias("value")))
 
 
 @query(
@@ -302,6 +317,17 @@ def a2(spark, folder):
     return found.select("doc_id", "topic_id", F.round("weight", 6).alias("weight"), F.array_join("words", ", ").alias("words"))
 
 
+@query(
+    "a2_topic_mixtures",
+    f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN {T3_STOPS})) AS INTEGER) AS n_tokens,
+      1.0 AS mixture, true AS known_topic FROM documents""",
+)
+def a2_mixtures(spark, folder):
+    found = topics.lda_topics(table(spark, folder, "documents"), "doc_id", "text")
+    total = F.round(F.aggregate("mix", F.lit(0.0), lambda a, x: a + x), 6)
+    return found.select("doc_id", "n_tokens", total.alias("mixture"), F.col("topic_id").between(0, fixed.LDA_TOPICS - 1).alias("known_topic"))
+
+
 A3_TF = """(SELECT transcript_id, segment_id, term, count(*) AS n FROM (
   SELECT transcript_id, segment_id, unnest(list_filter(regexp_extract_all(lower(transcript), '[\\p{L}\\p{N}_]{2,}'), lambda t: t NOT IN %s)) AS term
   FROM answered_segments) GROUP BY ALL)""" % T3_STOPS

@@ -29,8 +29,7 @@ def matched_frames(
 ) -> DataFrame:
     """Sampled frames with their text and logo matches.
 
-    Each frame is searched once however many samples show it, and no frame outside the samples is. A
-    frame with so many matches that its summary comes in parts gives one row per part.
+    Each frame is searched once however many samples show it, and no frame outside the samples is.
     """
     wanted = written(sampled.select("frame_id", VID, "frame_no").distinct(), "wanted")
     pixels = frames.select(VID, "frame_no", "pixels").join(wanted, [VID, "frame_no"]).select("frame_id", "pixels")

@@ -45,8 +45,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a small input that would keep most cores idle; an input with enough partitions is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -1,6 +1,6 @@
 """Reading and writing transcripts and speech-recognition responses."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seamline.operators.ordered import numbered
 
@@ -9,7 +9,6 @@ ASR = "transcript_id string, results struct<utterances: array<struct<transcript:
 LINES = f"transcript_id string, first bigint, utterances array<{UTTERANCE}>"
 TRANSCRIPTS = "transcript_id string, seq bigint, content string, start double, end double"
 BUCKETS = 256
-PART_UTTERANCES = 10_000
 
 
 def bucket_of(key: str, buckets: int = BUCKETS):
@@ -27,14 +26,38 @@ def exploded(arrays: DataFrame) -> DataFrame:
 
 def parse_transcripts(texts: DataFrame) -> DataFrame:
     """(transcript_id, value) with a JSON array of {content, start, end} to utterances."""
-    return exploded(texts.select("transcript_id", F.from_json("value", f"array<{UTTERANCE}>").alias("utterances")))
+    listed = texts.filter(_problem().isNull()).select("transcript_id", F.from_json("value", f"array<{UTTERANCE}>").alias("utterances"))
+    return exploded(listed)
 
 
-def read_transcript_files(spark: SparkSession, path: str) -> DataFrame:
-    """One transcript per JSON file, named by the file; read whole because the array's order is the time order."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    files = spark.read.text(path, wholetext=True).select(name.alias("transcript_id"), "value")
-    return parse_transcripts(files)
+def transcript_texts(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(transcript_id, value) of JSON files with such `names`, one transcript each, anywhere below `path`; read whole because the array's order is the time order.
+
+    A transcript goes by the path of its file, because files of different projects have the same name.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("transcript_id"), "value")
+
+
+def project_of(path: Column) -> Column:
+    """The folder that holds a transcript's file: its project."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def read_transcript_files(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """The utterances of all files of `transcript_texts`; those it can't read are in `transcript_defects`."""
+    return parse_transcripts(transcript_texts(spark, path, names))
+
+
+def _problem() -> Column:
+    listed = F.from_json("value", f"array<{UTTERANCE}>")
+    unlike = listed.isNull() | F.exists(listed, lambda u: u.isNull() | (u["content"].isNull() & u["start"].isNull() & u["end"].isNull()))
+    return F.when(F.coalesce(unlike, F.lit(True)), "not an array of utterances").when(F.size(listed) == 0, "no utterances")
+
+
+def transcript_defects(texts: DataFrame) -> DataFrame:
+    """(transcript_id, problem): texts that are not an array of utterances, or an empty one."""
+    return texts.select("transcript_id", _problem().alias("problem")).filter(F.col("problem").isNotNull())
 
 
 def read_transcript_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,13 +68,14 @@ def read_transcript_lines(spark: SparkSession, path: str) -> DataFrame:
     return exploded(spark.read.schema(LINES).json(path))
 
 
-def write_transcript_lines(utterances: DataFrame, path: str, mode: str = "errorifexists", part: int = PART_UTTERANCES) -> None:
-    """The form `read_transcript_lines` reads; a line holds at most `part` utterances, so no transcript is too long."""
+def write_transcript_lines(utterances: DataFrame, path: str, mode: str = "errorifexists", part: int | None = None) -> None:
+    """The form `read_transcript_lines` reads: a line for each transcript, or, if `part` is given, for each `part` utterances of it."""
     entry = F.struct("_rn", F.struct("content", "start", "end").alias("u"))
-    placed = numbered(utterances, ["transcript_id"], "seq", "_rn").withColumn("_part", F.expr(f"(_rn - 1) div {part}"))
+    place = F.expr(f"(_rn - 1) div {part}") if part else F.lit(0).cast("long")
+    placed = numbered(utterances, ["transcript_id"], "seq", "_rn").withColumn("_part", place)
     listed = placed.groupBy("transcript_id", "_part").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     lines = listed.select(
-        "transcript_id", (F.col("_part") * part).alias("first"), F.transform("_all", lambda e: e["u"]).alias("utterances")
+        "transcript_id", (F.col("_part") * (part or 0)).alias("first"), F.transform("_all", lambda e: e["u"]).alias("utterances")
     )
     lines.write.mode(mode).json(path)
 

@@ -113,7 +113,7 @@ def test_resampling_and_normalising(spark):
     df = spark.createDataFrame([("a", c, t, x) for c in (0, 1) for t, x in ((0.0, 1.0), (0.25, 3.0), (0.5, -2.0))], "track_id string, channel int, t double, x double")
     mono = audio.mono_resampled(df, 2).orderBy("n").collect()
     assert [(r.n, r.x) for r in mono] == [(0, 2.0), (1, -2.0)]
-    scaled = audio.normalized(df, 1.0, gain_db=0.0, min_rows=1)
+    scaled = audio.normalized(df, 1.0, gain_db=0.0)
     assert scaled.agg(F.sqrt(F.avg(F.col("x") * F.col("x")))).first()[0] == pytest.approx(1.0, abs=1e-5)
     silent = spark.createDataFrame([("s", 0, 0.0, 0.0)], df.schema)
     assert audio.normalized(silent, 1.0).first().x == 0.0

@@ -57,9 +57,16 @@ def test_defects(spark):
 
 def test_transcript_files_and_catalog(spark, tmp_path):
     said = [{"content": f"c{i}", "start": float(i), "end": i + 1.0} for i in range(12)]
-    (tmp_path / "talk.v1.json").write_text(json.dumps(said, indent=2))
-    got = transcripts.read_transcript_files(spark, str(tmp_path)).orderBy("seq").collect()
-    assert [(r.transcript_id, r.seq, r.content) for r in got] == [("talk.v1", i, f"c{i}") for i in range(12)]
+    values = {"one": json.dumps(said, indent=2), "two": json.dumps(said[:3]), "broken": '{"content": ', "none": "[]", "other": '{"a": 1}'}
+    for project, value in values.items():
+        (tmp_path / project).mkdir()
+        (tmp_path / project / "transcript.json").write_text(value)
+    got = transcripts.read_transcript_files(spark, str(tmp_path)).select(transcripts.project_of(F.col("transcript_id")).alias("p"), "seq", "content")
+    assert sorted(map(tuple, got.collect())) == sorted([("one", i, f"c{i}") for i in range(12)] + [("two", i, f"c{i}") for i in range(3)])
+    bad = transcripts.transcript_defects(transcripts.transcript_texts(spark, str(tmp_path)))
+    assert {r.transcript_id.split("/")[-2]: r.problem for r in bad.collect()} == {
+        "broken": "not an array of utterances", "none": "no utterances", "other": "not an array of utterances",
+    }
 
     utterances = spark.createDataFrame([("t", i * 2, f"c{i}", float(i), i + 1.0) for i in range(25)], transcripts.TRANSCRIPTS)
     transcripts.write_transcript_lines(utterances, str(tmp_path / "lines"), part=10)
