@@ -117,3 +117,10 @@ def test_resampling_and_normalising(spark):
     assert scaled.agg(F.sqrt(F.avg(F.col("x") * F.col("x")))).first()[0] == pytest.approx(1.0, abs=1e-5)
     silent = spark.createDataFrame([("s", 0, 0.0, 0.0)], df.schema)
     assert audio.normalized(silent, 1.0).first().x == 0.0
+
+
+def test_a_change_of_size_is_a_scene_change(spark):
+    rows = [("v", 0, 0.0, [[1.0, 2.0]]), ("v", 1, 1.0, [[1.0, 2.0], [1.0, 2.0]]), ("v", 2, 2.0, [[1.0, 2.0], [1.0, 2.0]])]
+    df = spark.createDataFrame(rows, "video_id string, frame_no long, ts double, pixels array<array<double>>")
+    got = frames.scene_changes(df, 0.5).collect()
+    assert [(r.frame_no, r.difference) for r in got] == [(1, None)]

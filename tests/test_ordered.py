@@ -95,3 +95,11 @@ def test_interval_join_matches_a_theta_join(spark, timeline, rows, closed):
     upper = F.col("t") <= F.col("b") if closed else F.col("t") < F.col("b")
     want = timeline.join(right, "k").filter((F.col("a") <= F.col("t")) & upper)
     assert rows(got) == rows(want)
+
+
+def test_rows_without_key_or_order_stay(spark):
+    df = spark.createDataFrame([("a", None), ("a", 1), ("a", 70_000), (None, 5), (None, None)], "k string, n long")
+    got = ordered.numbered(df, ["k"], "n", "at").collect()
+    assert sorted(((r.k or "", r.n or 0, r["at"]) for r in got)) == [("", 0, 1), ("", 5, 2), ("a", 0, 1), ("a", 1, 2), ("a", 70_000, 3)]
+    carried = ordered.carry_forward(df, ["k"], "n", F.col("n"), "last", current=False).collect()
+    assert sorted((r.k or "", r.n or 0, r["last"]) for r in carried if r["last"]) == [("a", 70_000, 1)] and len(carried) == 5
