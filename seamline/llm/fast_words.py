@@ -4,9 +4,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text makes a slab of its own.
-SLAB = 2 << 20
+SLAB = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -65,14 +66,21 @@ class Slab:
         return len(self.starts) - 1
 
 
-def slabs(texts: list[bytes], limit: int = SLAB) -> Iterator[Slab]:
-    first = 0
-    while first < len(texts):
-        end, size = first, 0
-        while end < len(texts) and (end == first or size + len(texts[end]) < limit):
-            size += len(texts[end]) + 1
-            end += 1
-        own = texts[first:end]
+def slabs(texts: list[bytes] | pa.Array, limit: int = SLAB, lower: bool = False) -> Iterator[Slab]:
+    """Slabs of a list of texts, or of a column without nulls, of whose bytes no more than a slab is copied at a time."""
+    if isinstance(texts, list):
+        ends, whole = np.cumsum([0, *map(len, texts)]), b"".join(texts)
+    else:
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        whole = memoryview(data) if data is not None else b""
+    first, n = 0, len(ends) - 1
+    while first < n:
+        end = max(first + 1, int(np.searchsorted(ends, int(ends[first]) + limit, "right")) - 1)
+        own = [bytes(whole[a:b]) for a, b in zip(ends[first:end].tolist(), ends[first + 1 : end + 1].tolist())]
+        if lower:
+            own = [t.decode().lower().encode() for t in own]
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in own])]).astype(np.int64)
         yield Slab(first, np.frombuffer(b" ".join(own) + b" ", np.uint8), starts)
         first = end

@@ -93,7 +93,7 @@ def signatures(text: np.ndarray, hashes: np.ndarray, counts: np.ndarray, texts:
 
 def _sign(batches):
     for batch in batches:
-        for slab in slabs([t.as_py().encode() for t in batch.column("plain")]):
+        for slab in slabs(batch.column("plain")):
             times = signatures(*shingles(slab), slab.texts)
             bits = mixed(times.view(np.uint64))
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (slab.texts, BANDS))
@@ -108,9 +108,9 @@ def _sign(batches):
 
 
 def _bodies(batches):
-    """The multiset of each text as sorted distinct numbers: the n-th copy of a shingle is an element of its own."""
+    """The multiset of each text as distinct numbers: the n-th copy of a shingle is an element of its own."""
     for batch in batches:
-        for slab in slabs([t.as_py().encode() for t in batch.column("plain")]):
+        for slab in slabs(batch.column("plain")):
             text, hashes, counts = shingles(slab)
             own = np.repeat(np.arange(len(text)), counts)
             copy = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -119,23 +119,8 @@ def _bodies(batches):
             text = text[own]
             order = np.lexsort((ids, text))
             ids, cuts = ids[order], np.searchsorted(text[order], np.arange(slab.texts + 1))
-            rows = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.slice(slab.first, slab.texts).column("node"), pa.array(rows, pa.binary())], ["node", "body"])
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct numbers."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-    return both / max(len(a) + len(b) - both, 1)
-
-
-def _overlaps(batches):
-    for batch in batches:
-        found = [overlap(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column("body_a"), batch.column("body_b"))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.slice(slab.first, slab.texts).column("node"), lists], ["node", "body"])
 
 
 def _agreeing(batches):
@@ -175,9 +160,10 @@ class Nodes:
         asked = written(asked.join(self.nodes.select("node", "doc_id", "key"), "node"), "asked")
         side = small_side(asked.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key"))
         texts = self.docs.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "plain")
-        bodies = written(texts.mapInArrow(_bodies, "node long, body binary").dropDuplicates(["node"]), "bodies")
+        bodies = written(texts.mapInArrow(_bodies, "node long, body array<long>").dropDuplicates(["node"]), "bodies")
         joined = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
-        return joined.mapInArrow(_overlaps, "a long, b long, similarity double")
+        both = F.size(F.array_intersect("body_a", "body_b"))
+        return joined.withColumn("both", both).select("a", "b", (F.col("both") / (F.size("body_a") + F.size("body_b") - F.col("both"))).alias("similarity"))
 
 
 def node_roots(nodes: Nodes, similarity: float = SIMILARITY) -> DataFrame:

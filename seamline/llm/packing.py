@@ -30,6 +30,8 @@ from seamline.session import written
 
 SIZE = 2048
 CLOSING = 0
+#: Words that a worker remembers at least; it keeps them from task to task.
+KNOWN_WORDS = 180_000
 #: Between two white-space characters a space may belong to a longer piece; elsewhere every space begins one.
 UNSURE = re.compile(r"\s \s")
 #: Rows that number their pieces together; see `_numbered`.
@@ -56,7 +58,7 @@ def byte_bpe(path: str):
     def encode(text):
         return np.array(library.encode(text, allowed_special="all"), "<u4").tobytes()
 
-    words = Remembered(encode)
+    words = Remembered(encode, KNOWN_WORDS)
 
     def ids(text: str) -> bytes:
         if UNSURE.search(text):

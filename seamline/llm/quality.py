@@ -16,6 +16,7 @@ are scored one by one; a null doc_id is carried along and is not held out. An em
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -39,10 +40,6 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def encoded_texts(batch) -> list[bytes]:
-    return [t.as_py().encode() for t in batch.column("text")]
-
-
 def shapes(slab, w) -> np.ndarray:
     """A small number for the look of each word: what kinds of characters it has, and its length."""
     data, counts = slab.data, []
@@ -80,16 +77,14 @@ def _count(batches):
     places, signs = index_vectors()
     sums = None
     for batch in batches:
-        for slab in slabs(encoded_texts(batch)):
+        for slab in slabs(batch.column("text")):
             cut = Cut(slab)
             if sums is None:
                 sums = np.zeros(BUCKETS * DIMS)
             near = np.flatnonzero(cut.text[1:] == cut.text[:-1])
-            for a, b in ((near, near + 1), (near + 1, near)):
-                for at in (cut.word[a], cut.shape[a]):
-                    for other in (cut.word[b], cut.shape[b]):
-                        for k in range(NONZERO // 2):
-                            sums += np.bincount(at * DIMS + places[other, k], signs[other, k], BUCKETS * DIMS)
+            own = [(at, other) for a, b in ((near, near + 1), (near + 1, near)) for at in (cut.word[a], cut.shape[a]) for other in (cut.word[b], cut.shape[b])]
+            cells = np.concatenate([at * DIMS + places[other, k] for at, other in own for k in range(NONZERO // 2)])
+            sums += np.bincount(cells, np.concatenate([signs[other, k] for _, other in own for k in range(NONZERO // 2)]), BUCKETS * DIMS)
     if sums is not None:
         for i, own in enumerate(sums.reshape(-1, SLICE * DIMS)):
             if own.any():
@@ -215,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality", fol
     def features(batches):
         table = vectors.value
         for batch in batches:
-            for slab in slabs(encoded_texts(batch)):
+            for slab in slabs(batch.column("text")):
                 x = pooled(slab, table).astype("<f4")
                 own = batch.slice(slab.first, slab.texts)
                 yield pa.RecordBatch.from_arrays([own.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
@@ -237,10 +232,11 @@ def with_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
 
     def score(batches):
         for batch in batches:
-            found = [model.value.score(pooled(slab, vectors.value)) for slab in slabs(encoded_texts(batch))]
+            text = pc.fill_null(batch.column("row").field("text"), "")
+            found = [model.value.score(pooled(slab, vectors.value)) for slab in slabs(text)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(score, StructType([StructField("row", docs.schema), StructField("score", DoubleType())]))
 
 

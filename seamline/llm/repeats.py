@@ -38,13 +38,13 @@ STEP = 128
 
 
 def _bytes(batch):
-    return [t.as_py().encode() for t in batch.column("text")]
+    return (bytes(t.as_buffer()) for t in batch.column("text"))
 
 
 def _pieces(batches):
     for batch in batches:
         ids = batch.column("id").to_numpy()
-        for slab in slabs(_bytes(batch)):
+        for slab in slabs(batch.column("text")):
             text, anchor, start, count, piece = anchors.pieces(slab)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(ids[slab.first + text]), pa.array(start * STEP + count)], ["anchor", "piece", "id", "run"])
 
@@ -126,7 +126,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = rivals.count()
     asked = distinct.join(small_side(rivals, rows), "anchor").select(F.col("first.id").alias("id"), "anchor", F.col("first.run").alias("run"), (F.col("pieces") > MOST).alias("hot"))
     asked = written(asked.groupBy("id").agg(F.collect_list(F.struct("anchor", "run", "hot")).alias("asked")), "asked-pieces")
-    bodies = written(docs.join(small_side(asked), "id").mapInArrow(_bodies, "anchor long, id long, run long, body binary"), "bodies")
+    pieces_asked = asked.agg(F.sum(F.size("asked")).alias("n")).first()["n"] or 0
+    bodies = written(docs.join(small_side(asked, max(pieces_asked // 4, asked.count())), "id").mapInArrow(_bodies, "anchor long, id long, run long, body binary"), "bodies")
     size = bodies.agg(F.sum(F.length("body")).alias("s")).first()["s"] or 0
     sorted_ = bodies.filter("body IS NOT NULL").repartition(int(max(8, size // (4 * CHUNK) + 1)), "anchor").sortWithinPartitions("anchor", "id", "run")
     marked = sorted_.mapInArrow(_marks, "id long, run long")
@@ -172,6 +173,8 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     64-bit numbers: the byte ranges removed)."""
     rows = _numbered(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(small_side(repeated_spans(rows.select("id", "text"))), "id", "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(rows.select("id", "text"))
+    size = spans.agg(F.sum(F.length("spans")).alias("n")).first()["n"] or 0
+    joined = rows.join(small_side(spans, max(size // 64, spans.count())), "id", "left").select("doc_id", "text", "spans")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.mapInArrow(_digest, schema) if digest else joined.mapInArrow(_cut, schema + ", kept binary, spans binary")

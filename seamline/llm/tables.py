@@ -17,7 +17,8 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """`df`, marked for broadcast if it has few rows; else as it is, for a shuffled join. Give it stored, narrow tables."""
+    """`df`, marked for broadcast if it has few rows; else as it is, for a shuffled join. Give it stored, narrow tables; where rows
+    hold lists, `rows` says how many narrow rows they amount to."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
