@@ -120,16 +120,23 @@ def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     pairs = near.filter("term IS NOT NULL").select("entity", "term", "around").distinct().groupBy("entity", "term").count()
     pairs = pairs.filter(F.col("count") >= CONTEXTS).select("entity", "term")
     pairs = written(pairs, "frequent-pairs")
-    both = near.join(small_side(pairs), ["entity", "term"]).groupBy("entity", "term").agg(F.count_distinct("tag").alias("n_both"))
-    with_entity = near.join(small_side(pairs.select("entity").distinct()), "entity").groupBy("entity").agg(F.count_distinct("tag").alias("n_entity"))
-    terms = small_side(written(pairs.select("term").distinct(), "frequent-terms"))
+    both = near.groupBy("entity", "term").agg(F.count_distinct("tag").alias("n_both")).join(small_side(pairs), ["entity", "term"])
+    with_entity = near.groupBy("entity").agg(F.count_distinct("tag").alias("n_entity"))
+    by_term = near.groupBy("term").agg(F.count_distinct("tag").alias("n_near"))
+    rows = both.join(with_entity, "entity").withColumn("total", F.lit(docs.count()))
+    worth = F.log2(F.col("total") / F.col("n_entity"))
+
+    def told(n_term):
+        return F.log2(F.col("total") * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))) / worth
+
+    # a term is in at least as many documents as it is near entities in; what tells too little even so needs no counting
+    rows = written(rows.join(by_term, "term").filter((worth > 0) & (told("n_near") >= DISCLOSED)), "likely-terms")
+    terms = small_side(rows.select("term").distinct())
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).alias("term"))
     with_term = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rows = both.join(with_entity, "entity").join(with_term, "term").withColumn("total", F.lit(docs.count()))
-    told = F.log2(F.col("total") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    worth = F.log2(F.col("total") / F.col("n_entity"))
-    return written(rows.withColumn("told", told / worth).filter((worth > 0) & (F.col("told") >= DISCLOSED)).select("entity", "term", "told"), "disclosing")
+    found = rows.join(with_term, "term").withColumn("told", told("n_term"))
+    return written(found.filter(F.col("told") >= DISCLOSED).select("entity", "term", "told"), "disclosing")
 
 
 def _with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
