@@ -1,14 +1,16 @@
-"""Personal data: patterned entities, and terms of their surroundings that give an entity away. DataFrame operations only.
+"""Personal data: patterned entities, and terms of the same documents that give an entity away. DataFrame operations only.
 
 Entities are e-mail addresses, IP addresses, card numbers and phone numbers, by the patterns below. They are what is protected.
-The terms are words of at least three letters within `NEAR` characters of an entity. Over the whole corpus, a term t tells
-PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) bits about an entity e, where n(t,e) counts the documents with t near e, n(t) and n(e) those
-with t and with e anywhere, and N all. Knowing e outright is worth IC(e) = log2(N / n(e)) bits. A term that tells at least
-`DISCLOSED` of that, in at least `CONTEXTS` different surroundings, discloses e: its occurrences near e become spans, generalised
-to a placeholder, or removed where it tells everything. Copies of one surrounding count once towards the least number.
+The terms are words of at least three letters outside the entities. Over the whole corpus, a term t tells
+PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) bits about an entity e, where n(t), n(e) and n(t,e) count the documents with t, with e and
+with both, however far apart, and N all. Knowing e outright is worth IC(e) = log2(N / n(e)) bits. A term that tells at least
+`DISCLOSED` of that discloses e, unless chance explains it: were t independent of e, at least n(t,e) of its n(t) documents would hold e
+with a probability of at most 2^(-n(t) D), D the divergence in bits of n(t,e) / n(t) from n(e) / N (Chernoff), and this must not be
+over `CHANCE`. The rarer e is, the fewer documents that takes; from 20 documents in all, one is enough for an entity of one document.
+A disclosing term is generalised to a placeholder wherever it occurs, or removed where it tells everything of some entity.
 
-Only documents with entities have contexts, so the joins are between small tables. The one count over all texts, n(t), is of
-terms that already have enough contexts.
+DISCLOSED implies n(t) <= n(e)^DISCLOSED N^(1 - DISCLOSED), as n(t,e) <= n(e); terms over that are left out before the join with the
+entities of their documents, and no other term is.
 
 Cases: a null text is the empty one. Positions are code points, ends exclusive. Repeated rows are rows of their own and count as
 documents of their own; a null doc_id is carried along. A text of one long run of a pattern's characters is read once, not once
@@ -32,14 +34,14 @@ KINDS = {
 NAMES = [*KINDS, "term"]
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 WORD = r"\p{L}{3,}+"
-NEAR = 80
-CONTEXTS = 3
 DISCLOSED, EVERYTHING = 0.9, 0.999
+CHANCE = 0.05
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, match>> of the matches of `pattern`, which is never empty, from left to right."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
     nothing = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
@@ -49,7 +51,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(start.alias("start"), end.alias("end"), step["match"].alias("match")))).alias("out"))
 
     whole = F.aggregate(steps, F.struct(F.lit(0).alias("at"), nothing.alias("out")), add, lambda done: done["out"])
-    return F.when(text.rlike(pattern), whole).otherwise(nothing)
+    return F.when(F.rlike(text, pattern), whole).otherwise(nothing)
 
 
 def _digits(match: Column) -> Column:
@@ -79,10 +81,6 @@ def _as_kind(i: int):
     return lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end"), m["match"].alias("match"))
 
 
-def _moved(by: Column):
-    return lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), w["match"].alias("match"))
-
-
 def entities(text: Column) -> Column:
     """array<struct<start, kind, end, match>> of the base spans, by start, then kind (its number in NAMES)."""
     found = []
@@ -91,62 +89,76 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """array<struct<entity, around, words: array<struct<start, end, match>>>>: for each entity the whole words near it."""
-    total = F.length(text)
+def _outside(text: Column, base: Column) -> Column:
+    """`text` with a space for each base span, the rest of a word that a span cuts into included."""
+    letter = lambda at: F.substring(text, at, F.lit(1)).rlike(r"\p{L}")
+
+    def piece(done, end, cut):
+        between = F.substring(text, done["at"] + 1, F.greatest(end - done["at"], F.lit(0)))
+        between = F.when(done["cut"], F.regexp_replace(between, r"^\p{L}++", "")).otherwise(between)
+        return F.concat(done["out"], F.when(cut, F.regexp_replace(between, r"(?<!\p{L})\p{L}++$", "")).otherwise(between))
+
+    def step(done, s):
+        out = F.concat(piece(done, s["start"], letter(s["start"] + 1)), F.lit(" "))
+        return F.when(s["end"] > done["at"], F.struct(s["end"].alias("at"), letter(s["end"]).alias("cut"), out.alias("out"))).otherwise(done)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("cut"), F.lit("").alias("out"))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, start, step, lambda done: piece(done, F.length(text), F.lit(False))))
+
+
+def _words() -> Column:
+    """The distinct words of a row of `_found`, as they are written."""
+    return F.array_distinct(F.regexp_extract_all(_outside(F.col("_text"), F.col("base")), F.lit(WORD), F.lit(0)))
 
-    def one(s):
-        low, high = F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["end"] + NEAR, total)
-        left, right = F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, high - s["end"])
-        before = F.filter(matches(left, WORD), lambda w: (w["start"] > 0) | (low == 0))
-        after = F.filter(matches(right, WORD), lambda w: (w["end"] < F.length(right)) | (high == total))
-        moved = [F.transform(before, _moved(low)), F.transform(after, _moved(s["end"]))]
-        own = F.filter(F.concat(*moved), lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["match"])).alias("entity"), F.xxhash64(left, right).alias("around"), own.alias("words"))
 
-    return F.transform(base, one)
+def _terms() -> Column:
+    return F.array_distinct(F.transform(_words(), lambda w: F.lower(w)))
 
 
 def _found(docs: DataFrame, carried: list[Column]) -> DataFrame:
-    """Stored: the carried columns, tag, base and contexts of every row."""
+    """Stored: the carried columns, tag, _text and base of every row."""
     rows = docs.select(*carried, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("base", entities(F.col("_text")))
-    contexts = F.when(F.size("base") > 0, _contexts(F.col("_text"), F.col("base")))
-    return written(rows.withColumn("contexts", contexts).drop("_text").withColumn("tag", F.monotonically_increasing_id()), "entities")
-
-
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """Stored (entity, term, share of IC told) of the terms that give an entity away. `near`: (tag, entity, around, term), stored."""
-    pairs = near.filter("term IS NOT NULL").select("entity", "term", "around").distinct().groupBy("entity", "term").count()
-    pairs = pairs.filter(F.col("count") >= CONTEXTS).select("entity", "term")
-    pairs = written(pairs, "frequent-pairs")
-    both = near.groupBy("entity", "term").agg(F.count_distinct("tag").alias("n_both")).join(small_side(pairs), ["entity", "term"])
-    with_entity = near.groupBy("entity").agg(F.count_distinct("tag").alias("n_entity"))
-    by_term = near.groupBy("term").agg(F.count_distinct("tag").alias("n_near"))
-    rows = both.join(with_entity, "entity").withColumn("total", F.lit(docs.count()))
-    worth = F.log2(F.col("total") / F.col("n_entity"))
-
-    def told(n_term):
-        return F.log2(F.col("total") * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))) / worth
-
-    # a term is in at least as many documents as it is near entities in; what tells too little even so needs no counting
-    rows = written(rows.join(by_term, "term").filter((worth > 0) & (told("n_near") >= DISCLOSED)), "likely-terms")
-    terms = small_side(rows.select("term").distinct())
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).alias("term"))
-    with_term = words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    found = rows.join(with_term, "term").withColumn("told", told("n_term"))
-    return written(found.filter(F.col("told") >= DISCLOSED).select("entity", "term", "told"), "disclosing")
-
-
-def _with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`found` with `terms`: array<struct<start, kind, end, told>> of the disclosing terms near its entities."""
-    each = found.filter(F.size("base") > 0).select("tag", F.explode("contexts").alias("c")).select("tag", "c.entity", "c.around", F.explode_outer("c.words").alias("w"))
-    near = written(each.select("tag", "entity", "around", "w.start", "w.end", F.lower("w.match").alias("term")), "near-entities")
-    terms = small_side(disclosing(docs, near.select("tag", "entity", "around", "term")))
-    spans = near.join(terms, ["entity", "term"]).groupBy("tag", "start", "end").agg(F.max("told").alias("told"))
-    by_row = spans.groupBy("tag").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", "told")).alias("terms"))
-    return found.join(small_side(written(by_row, "term-spans")), "tag", "left")
+    return written(rows.withColumn("base", entities(F.col("_text"))).withColumn("tag", F.monotonically_increasing_id()), "entities")
+
+
+def disclosing(found: DataFrame) -> DataFrame:
+    """Stored (entity, term, told) of the terms that give an entity away; told is the share of IC. `found`: a result of `_found`."""
+    total = F.lit(found.count()).cast("double")
+    with_base = found.filter(F.size("base") > 0)
+    name = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["match"]))
+    holds = written(with_base.select("tag", F.explode(F.array_distinct(F.transform("base", name))).alias("entity")), "holds")
+    limit = F.pow("n_entity", F.lit(DISCLOSED)) * F.pow(total, F.lit(1 - DISCLOSED)) * (1 + 1e-9)
+    by_entity = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") < total)
+    by_entity = written(by_entity.withColumn("limit", limit), "by-entity")
+    most = by_entity.agg(F.max("limit")).first()[0] or 0.0
+    # each text is read for its words here, and only here, if nothing discloses anything
+    by_term = found.filter(F.lit(most > 0)).select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    by_term = written(by_term.filter(F.col("n_term") <= most), "by-term")
+    rare = with_base.select("tag", F.explode(_terms()).alias("term")).join(small_side(by_term), "term")
+    pairs = rare.join(holds.join(small_side(by_entity), "entity"), "tag").filter(F.col("n_term") <= F.col("limit"))
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    p, q = F.col("n_entity") / total, F.col("n_both") / F.col("n_term")
+    told = F.log2(q / p) / -F.log2(p)
+    other = F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0)
+    bits = F.when(q > p, F.col("n_term") * (q * F.log2(q / p) + other)).otherwise(0.0)
+    kept = (told >= DISCLOSED) & (bits >= -F.log2(F.lit(CHANCE)))
+    return written(both.filter(kept).select("entity", "term", told.alias("told")), "disclosing")
+
+
+def _with_terms(found: DataFrame) -> DataFrame:
+    """`found` with `terms`: array<struct<start, kind, end, told>> of the disclosing terms of its texts, beside an entity or not."""
+    told = written(disclosing(found).groupBy("term").agg(F.max("told").alias("told")), "terms")
+    words = found.filter(F.lit(not told.isEmpty())).select("tag", F.explode(_words()).alias("word"))
+    hits = words.join(small_side(told), F.lower("word") == F.col("term")).select("tag", "word", "told")
+    hits = written(hits.groupBy("tag").agg(F.map_from_entries(F.collect_list(F.struct("word", "told"))).alias("hits")), "term-hits")
+    # only the texts that hold such terms are moved to meet them
+    tags = small_side(hits.select("tag"))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("hits"), "|"), F.lit(r")(?!\p{L})"))
+    own = F.filter(matches(F.col("_text"), pattern), lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    span = lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), w["end"].alias("end"), F.element_at("hits", w["match"]).alias("told"))
+    touched = found.join(tags, "tag", "left_semi").join(hits, "tag").withColumn("terms", F.transform(own, span)).drop("hits")
+    rest = found.join(tags, "tag", "left_anti").withColumn("terms", F.array().cast(touched.schema["terms"].dataType))
+    return touched.unionByName(rest)
 
 
 def _said(spans: Column) -> Column:
@@ -165,7 +177,7 @@ def _all() -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans."""
     docs = docs.select("doc_id", "text")
-    rows = _with_terms(docs, _found(docs, [F.col("doc_id")]))
+    rows = _with_terms(_found(docs, [F.col("doc_id")]))
     counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     n_term = F.size(F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,told:double>>"))).cast("long")
     return rows.select("doc_id", *counts, n_term.alias("n_term"), F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(_all()).alias("spans"))
@@ -188,7 +200,7 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame) -> DataFrame:
     """`docs` with spans masked in `text`, and n_chars, if there is one, counted again. Rows without spans come back as they are."""
     names = docs.columns
-    rows = _with_terms(docs, _found(docs, [F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")]))
+    rows = _with_terms(_found(docs, [F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")]))
     rows = rows.withColumn("spans", _all())
     touched = F.size("spans") > 0
     text = F.when(touched, masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))

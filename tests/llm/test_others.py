@@ -176,3 +176,20 @@ def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11)]
     assert set(ORACLES) <= set(QUERIES)
     assert exact_dedup and near_dedup
+
+
+def test_terms_of_rare_entities_far_off_and_without_them(spark):
+    filler = "ask anyone about this other number " * 20
+    rows = [(0, f"Quillfeather {filler} q@a.org"), (1, f"{filler} +1 (017) 555-7713 äq@b.org Ravenbrook"), (2, f"{filler} r@c.org RAVENBROOK {filler}ravenbrook")]
+    rows += [(10 + i, f"{filler} Thornfield {i} {'t@d.org' if i < 8 else ''}") for i in range(9)]
+    rows += [(100 + i, filler) for i in range(200)]
+    # a word once beside an entity of a tenth of the documents and more is no evidence
+    rows += [(400 + i, f"{filler} all@e.org {'Larkspur' if i == 0 else ''}") for i in range(40)]
+    found = {r["doc_id"]: r for r in personal_data.spans(spark.createDataFrame(rows, SHORT)).collect()}
+    want = {0: ["Quillfeather"], 1: [], 2: [], **{10 + i: ["Thornfield"] for i in range(9)}}
+    for i, text in rows:
+        spans = [x.split(":") for x in found[i]["spans"].split(",") if x.startswith("term")]
+        assert [text[int(s) : int(e)] for _, s, e in spans] == want.get(i, []) and found[i]["n_term"] == len(spans)
+    clean = {r["doc_id"]: r["text"] for r in personal_data.sanitised(spark.createDataFrame(rows, SHORT)).collect()}
+    assert "Quillfeather" not in clean[0] and clean[18] == f"{filler} [TERM] 8 " and clean[400] == f"{filler} [EMAIL] Larkspur"
+    assert clean[100] == filler
