@@ -82,9 +82,20 @@ def topic_list(metadata: DataFrame) -> DataFrame:
     )
 
 
-def results_documents(metadata: DataFrame, register: str = "gen-ai") -> DataFrame:
-    """The results document of each transcript, one row whatever its size: topics, segments, register.
+BOX = "struct<x:int,y:int,w:int,h:int>"
+ANALYZED = (
+    "array<struct<segment_id:int,start_time:double,end_time:double,transcript:string,topic:string,keywords:array<string>,"
+    "frame_analyses:array<struct<ordinal:int,timestamp:double,frame_type:string,software_analysis:struct<"
+    f"ocr_matches:array<struct<software:string,detected_text:string,confidence:double,location:{BOX}>>,"
+    "logo_matches:array<struct<software:string,confidence:double,location:struct<x:int,y:int>>>>,analysis:string>>>>"
+)
 
+
+def results_documents(metadata: DataFrame, register: str = "gen-ai", analyzed: DataFrame | None = None) -> DataFrame:
+    """The results document of each transcript, one row whatever its size: topics, segments, register, analyzed_segments.
+
+    `analyzed`: segments rolled up with their frames (`visual.analyze_segments`), their video_id being the transcript's id;
+    transcripts without any have an empty array.
     For transcripts whose document doesn't fit a cell use the rows of `topic_list` and of the metadata themselves.
     """
     fields = ["segment_id", "start_time", "end_time", "duration", "dominant_topic", "top_keywords", "transcript"]
@@ -95,7 +106,15 @@ def results_documents(metadata: DataFrame, register: str = "gen-ai") -> DataFram
             (s["segment_id"] - 1).alias("topic_id"), s["dominant_topic"].alias("topic"), s["top_keywords"].alias("words")
         ),
     )
-    return gathered.select(TID, topics.alias("topics"), "segments", F.lit(register).alias("register"))
+    documents = gathered.select(TID, topics.alias("topics"), "segments", F.lit(register).alias("register"))
+    none = F.array().cast(ANALYZED)
+    if analyzed is None:
+        return documents.withColumn("analyzed_segments", none)
+    fields = ["segment_id", "start_time", "end_time", "transcript", "topic", "keywords", "frame_analyses"]
+    entries = F.sort_array(F.collect_list(F.struct(*fields))).cast(ANALYZED)
+    rolled = analyzed.groupBy(F.col("video_id").alias("_video")).agg(entries.alias("_analyzed"))
+    joined = documents.join(rolled, F.col(TID).eqNullSafe(F.col("_video")), "left")
+    return joined.select(*documents.columns, F.coalesce("_analyzed", none).alias("analyzed_segments"))
 
 
 def report_lines(metadata: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from seamline.operators import audio, frames
+from seamline.operators import audio, frames, segmenting
+from seamline.plans import visual
 from seamline.operators.batching import assign_batches, combine_batches
 from seamline.plans.adapters import (
-    ANALYSIS, DAY, days, event_frames, images, levels, samples, table, talk, timed, with_ctes,
+    ANALYSIS, DAY, days, event_frames, images, levels, logo_templates, names, ocr_texts, samples, table, talk, timed, with_ctes,
 )
 from seamline.plans.registry import query
 from seamline.session import written
@@ -127,6 +128,42 @@ def v8(spark, folder):
     ).drop("frame_analyses")
 
 
+@query(
+    "t15_analyzed_documents",
+    with_ctes(
+        ["fetched", "days", "ocr", "names", "logo_pixels", "logo_hits"],
+        f"""SELECT video_id AS transcript_id, count(*) OVER (PARTITION BY video_id) AS segments, segment_id, topic, analyses FROM (
+          SELECT video_id, segment_id, dominant_topic AS topic,
+            coalesce(string_agg(concat(ordinal, ':', {ANALYSIS}, ':', coalesce(t.n, 0), ':', coalesce(l.n, 0)), ' | ' ORDER BY ordinal)
+              FILTER (frame_no IS NOT NULL), '') AS analyses
+          FROM days LEFT JOIN fetched USING (video_id, segment_id)
+          LEFT JOIN (SELECT frame_id, count(*) AS n FROM ocr JOIN (SELECT software FROM names UNION SELECT software FROM logo_pixels) c
+            ON contains(lower(text), lower(c.software)) GROUP BY frame_id) t ON t.frame_id = CAST(frame_no AS VARCHAR)
+          LEFT JOIN (SELECT frame_id, count(*) AS n FROM logo_hits GROUP BY frame_id) l ON l.frame_id = CAST(frame_no AS VARCHAR)
+          GROUP BY video_id, segment_id, dominant_topic)""",
+    ),
+)
+def t15_analyzed(spark, folder):
+    """Days as segments, events as frames; the image and the document of an event's number are what its frame shows and says."""
+    segments, shown = days(spark, folder), event_frames(spark, folder)
+    pixels = shown.join(images(spark, folder).select(F.col("vec_id").alias("frame_no"), "pixels"), "frame_no")
+    texts = ocr_texts(spark, folder).drop("frame_id").join(shown.select(F.col("frame_no").alias("text_no"), VID), "text_no")
+    texts = texts.withColumn("frame_id", visual.frame_id(frame_no="text_no")).drop(VID)
+    logos = logo_templates(spark, folder)
+    catalog = written(names(spark, folder).union(logos.select("software")).distinct(), "catalog")
+    matched = written(visual.matched_frames(visual.sampled_frames(segments, shown), pixels, texts, catalog, logos), "matched")
+    analyzed = visual.analyze_segments(segments, matched, matched.withColumn("analysis", F.expr(ANALYSIS)))
+    metadata = segments.withColumnRenamed(VID, "transcript_id").withColumn("duration", F.col("end_time") - F.col("start_time"))
+    documents = segmenting.results_documents(metadata, analyzed=analyzed)
+    entry = lambda a: F.concat(
+        a["ordinal"].cast("string"), F.lit(":"), a["analysis"], F.lit(":"),
+        F.size(a["software_analysis"]["ocr_matches"]).cast("string"), F.lit(":"),
+        F.size(a["software_analysis"]["logo_matches"]).cast("string"),
+    )
+    each = documents.select("transcript_id", F.size("segments").cast("long").alias("segments"), F.explode("analyzed_segments").alias("s"))
+    return each.select("transcript_id", "segments", "s.segment_id", "s.topic", F.array_join(F.transform("s.frame_analyses", entry), " | ").alias("analyses"))
+
+
 def _silences(spark, folder):
     return audio.silence_intervals(levels(spark, folder), at_least=3600.0, width=DAY)
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from seamline.operators import segmenting
 from seamline.plans import visual
 
 IMAGE = [[0.0, 0.0, 0.0, 0.0], [0.0, 10.0, 20.0, 0.0], [0.0, 30.0, 40.0, 0.0]]
@@ -38,3 +39,25 @@ def test_segments_with_their_frames_texts_and_logos(spark):
         "\nPrevious frame analysis (0.00s):\nsaw v#0"
     )
     assert "Previous" not in told[(1, 2)]
+
+
+def test_analyzed_segments_are_part_of_the_results_document(spark):
+    metadata = spark.createDataFrame(
+        [(v, i, i * 8.0, i * 8.0 + 8, 8.0, "topic", ["k"], "said") for v, n in (("v", 2), ("w", 1), (None, 1)) for i in range(1, n + 1)],
+        "transcript_id string, segment_id int, start_time double, end_time double, duration double, dominant_topic string, top_keywords array<string>, transcript string",
+    )
+    segments = metadata.withColumnRenamed("transcript_id", "video_id").filter("video_id = 'v' OR video_id IS NULL")
+    frames = spark.createDataFrame([("v", 1, 15.0, IMAGE)], "video_id string, frame_no long, ts double, pixels array<array<double>>")
+    texts = spark.createDataFrame([("v#1", 0, "In VS CODE now", None, 90.0)], "frame_id string, text_no long, text string, bbox struct<x:int,y:int,w:int,h:int>, confidence double")
+    catalog = spark.createDataFrame([("VS Code",), ("Slack",)], "software string")
+    logos = spark.createDataFrame([("slack", [[10.0, 20.0], [30.0, 40.0]])], "software string, pixels array<array<double>>")
+    matched = visual.matched_frames(visual.sampled_frames(segments, frames), frames, texts, catalog, logos, 0.95)
+    analyzed = visual.analyze_segments(segments, matched, matched.withColumn("analysis", F.lit("seen")))
+    documents = segmenting.results_documents(metadata, analyzed=analyzed)
+    bare = segmenting.results_documents(metadata)
+    assert documents.schema["analyzed_segments"].dataType == bare.schema["analyzed_segments"].dataType
+    assert {r.transcript_id: r.analyzed_segments for r in bare.collect()} == {"v": [], "w": [], None: []}
+    found = {r.transcript_id: r.analyzed_segments for r in documents.collect()}
+    assert [s.segment_id for s in found["v"]] == [1, 2] and found["w"] == [] and [s.frame_analyses for s in found[None]] == [[]]
+    seen = found["v"][1].frame_analyses[0]
+    assert (seen.frame_type, seen.analysis, seen.software_analysis.ocr_matches[0].software, seen.software_analysis.logo_matches[0].software) == ("segment_end", "seen", "VS Code", "Slack")
