@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can say it."""
 
-from seamline.llm import bpe, exact_dedup, near_dedup, nearest, packing, personal_data, quality, repeats, token_counts, toxicity
+from seamline.llm import bpe, centroids, decontamination, exact_dedup, near_dedup, nearest, packing, personal_data, prefix_trie, quality, repeats, token_counts, toxicity
+from seamline.llm.sql import CENTROIDS, DECONTAMINATION, PREFIX_TRIE
 from seamline.llm.tables import table
 
 
@@ -44,7 +45,25 @@ def op10_toxicity(spark, folder):
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_repeated_passages, op4_best_fit_packing, op5_near_dedup, op6_personal_data, op7_exact_dedup, op8_nearest, op9_bpe, op10_toxicity)}
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_decontamination(spark, folder):
+    return decontamination.digests(decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+def op13_centroid_clusters(spark, folder):
+    return centroids.with_inertia(table(spark, folder, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_quality, op3_repeated_passages, op4_best_fit_packing, op5_near_dedup, op6_personal_data, op7_exact_dedup, op8_nearest,
+        op9_bpe, op10_toxicity, op11_prefix_trie, op12_decontamination, op13_centroid_clusters,
+    )
+}
 
 ORACLES = {
     "op7_exact_dedup": """
@@ -55,4 +74,7 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY n) AS kept, sha256(n) AS text_sha256
         FROM t
     """,
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op12_decontamination": DECONTAMINATION,
+    "op13_centroid_clusters": CENTROIDS,
 }
