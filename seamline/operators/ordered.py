@@ -1,8 +1,10 @@
 """Running totals, positions and carried-forward values in order within a key.
 
 A window over a whole key would put that key into one task. Here every key is cut into chunks of
-consecutive rows: one window works inside the chunks, a second one only over one summary row per
+consecutive rows: one window works inside the chunks, others only over one summary row per
 chunk, and the two are added by an equi-join on the chunk. The rows themselves are shuffled once.
+Where rows lie so far apart that nearly every one has a chunk of its own, summaries are as many as rows;
+so they are scanned in blocks of 2^24 chunk numbers the same way, and only blocks are scanned by key.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -12,6 +14,8 @@ from seamline.session import written
 
 POSITIONS = 65_536
 SECONDS = 600.0
+BLOCK_BITS = 24
+BLOCK = "_block"
 
 
 def same_place(left: DataFrame, right: DataFrame, place) -> DataFrame:
@@ -21,8 +25,34 @@ def same_place(left: DataFrame, right: DataFrame, place) -> DataFrame:
     return left.join(renamed, alike).drop(*[f"_r_{c}" for c in place])
 
 
-def _across(keys):
-    return W.partitionBy(*keys).orderBy(CHUNK, PART)
+def scanned_before(chunks: DataFrame, keys, combined, together, totals=None) -> DataFrame:
+    """(keys, _chunk, _part, ...): what all earlier chunks of the key hold, for every chunk.
+
+    `combined` (name -> column of `chunks`) are the results wanted, `together` the aggregate that combines columns. `totals` (name ->
+    column) are added, combined over the whole key.
+    """
+    blocks = chunks.withColumn(BLOCK, F.shiftright(CHUNK, BLOCK_BITS))
+    place = [*keys, BLOCK]
+    columns = list({*combined.values(), *(totals or {}).values()})
+    order = F.struct(CHUNK, PART)
+    inside = W.partitionBy(*place).orderBy(CHUNK, PART).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    by_block = blocks.groupBy(*place).agg(*[together(c, order).alias(c) for c in columns]).select(
+        *place,
+        *[together(c).over(across).alias(f"_earlier_{name}") for name, c in combined.items()],
+        *[together(c).over(W.partitionBy(*keys)).alias(name) for name, c in (totals or {}).items()],
+    )
+    here = blocks.select(*place, CHUNK, PART, *[together(c).over(inside).alias(f"_here_{name}") for name, c in combined.items()])
+    return same_place(here, by_block, place)
+
+
+def _sum(column, order=None):
+    return F.sum(column)
+
+
+def _last(column, order=None):
+    """The last value that isn't null: of a window's rows, or in `order` of a group's."""
+    return F.last(column, True) if order is None else F.max_by(column, F.when(F.col(column).isNotNull(), order))
 
 
 def running_totals(
@@ -37,12 +67,10 @@ def running_totals(
     rows = rows.withColumns({f"_value_{name}": value for name, value in sums.items()})
     place = [*keys, CHUNK, PART]
     chunks = rows.groupBy(*place).agg(*[F.sum(f"_value_{name}").alias(f"_sum_{name}") for name in sums])
-    earlier = _across(keys).rowsBetween(W.unboundedPreceding, -1)
-    before = chunks.select(
-        *place,
-        *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums],
-        *[F.sum(f"_sum_{name}").over(W.partitionBy(*keys)).alias(total) for total, name in totals.items()],
-    )
+    sums_of = {name: f"_sum_{name}" for name in sums}
+    scanned = scanned_before(chunks, keys, sums_of, _sum, {total: sums_of[name] for total, name in totals.items()})
+    both = lambda name: F.coalesce(f"_here_{name}", F.lit(0)) + F.coalesce(f"_earlier_{name}", F.lit(0))
+    before = scanned.select(*place, *[both(name).alias(f"_before_{name}") for name in sums], *totals)
     inside = W.partitionBy(*place).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumns({f"_inside_{name}": F.sum(f"_value_{name}").over(inside) for name in sums})
     return same_place(local, before, place).select(
@@ -68,10 +96,8 @@ def carry_forward(
     lasts = rows.groupBy(*place).agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), rank)).alias("_last")
     )
-    carried = lasts.select(
-        *place,
-        F.last("_last", True).over(_across(keys).rowsBetween(W.unboundedPreceding, -1)).alias("_carried"),
-    )
+    scanned = scanned_before(lasts, keys, {"last": "_last"}, _last)
+    carried = scanned.select(*place, F.coalesce("_here_last", "_earlier_last").alias("_carried"))
     inside = W.partitionBy(*place).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0 if current else -1)
     return (
         same_place(rows.withColumn("_inside", F.last("_value", True).over(inside)), carried, place)

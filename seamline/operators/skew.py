@@ -7,6 +7,8 @@ the table of hot keys.
 
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.session import written
+
 HOT_SHARES = 1000
 HOT_MIN_ROWS = 1_000_000
 CUTS = 255
@@ -54,13 +56,15 @@ def _salted(judged, other, keys, spread, salt, min_rows, onto=None):
     return hashed, every
 
 
-def crowded_cuts(points: DataFrame, keys, order: str, width, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """(keys, _chunk, _cuts): the quantiles at which to cut chunks crowded with `points`; bounded as hot keys are."""
-    place = [*keys, CHUNK]
-    narrow = points.select(*keys, chunk_of(order, width).alias(CHUNK), order)
+def crowded_cuts(placed: DataFrame, place, order: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """(place, _cuts): the quantiles of `order` at which to cut places crowded with rows; bounded as hot keys are.
+
+    Stored, because quantiles are approximate: everything that is cut by them has to be cut at the same values.
+    """
+    narrow = placed.select(*place, order)
     quantiles = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    crowded = narrow.join(F.broadcast(hot_keys(narrow, place, min_rows)), place)
-    return crowded.groupBy(*place).agg(F.percentile_approx(order, quantiles, 10 * (CUTS + 1)).alias("_cuts"))
+    crowded = narrow.join(F.broadcast(hot_keys(narrow, place, min_rows)), list(place))
+    return written(crowded.groupBy(*place).agg(F.percentile_approx(order, quantiles, 10 * (CUTS + 1)).alias("_cuts")), "cuts")
 
 
 def chunk_of(order: str, width):
@@ -81,5 +85,5 @@ def in_chunks(df: DataFrame, keys, order: str, width, split_hot: bool, min_rows:
     chunked = df.withColumn(CHUNK, chunk_of(order, width))
     if not split_hot:
         return chunked.withColumn(PART, F.lit(0))
-    cuts = F.broadcast(crowded_cuts(df, keys, order, width, min_rows))
+    cuts = F.broadcast(crowded_cuts(chunked, [*keys, CHUNK], order, min_rows))
     return chunked.join(cuts, [*keys, CHUNK], "left").withColumn(PART, cuts_before(order)).drop("_cuts")

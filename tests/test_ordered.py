@@ -103,3 +103,44 @@ def test_rows_without_key_or_order_stay(spark):
     assert sorted(((r.k or "", r.n or 0, r["at"]) for r in got)) == [("", 0, 1), ("", 5, 2), ("a", 0, 1), ("a", 1, 2), ("a", 70_000, 3)]
     carried = ordered.carry_forward(df, ["k"], "n", F.col("n"), "last", current=False).collect()
     assert sorted((r.k or "", r.n or 0, r["last"]) for r in carried if r["last"]) == [("a", 70_000, 1)] and len(carried) == 5
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_long_and_open_spans(spark, rows, closed):
+    inf, rng = float("inf"), random.Random(3)
+    points = [("a", i, rng.choice([1, 1e3, 1e6, 1e9, 1e12]) * (rng.random() - 0.3)) for i in range(300)]
+    points += [("a", 300, inf), ("a", 301, -inf), ("a", 302, float("nan")), ("a", 303, None), ("b", 304, 5.0), ("c", 305, 1e300), (None, 306, 1.0)]
+    spans = [("a", 0, 0.0, 1e10), ("a", 1, -inf, inf), ("a", 2, 100.0, inf), ("a", 3, -inf, 0.0), ("b", 4, 5.0, 5.0), ("c", 5, -1e300, 1e301), ("a", 6, None, 9.0), ("a", 7, float("nan"), inf), (None, 8, 0.0, 9.0)]
+    for i in range(60):
+        at, length = rng.choice([1, 1e4, 1e8]) * (rng.random() - 0.5), rng.choice([0, 1, 50, 1e4, 1e7, 1e11])
+        spans.append(("a", 10 + i, at, at + length))
+    left, right = spark.createDataFrame(points, "k string, id long, t double"), spark.createDataFrame(spans, "k string, s long, a double, b double")
+    got = interval_join(left, right, ["k"], "t", "a", "b", 10.0, closed=closed, spread=["id"])
+    holds = lambda p, s: p[0] == s[0] is not None and None not in (p[2], s[2]) and (s[2] <= p[2] <= s[3] if closed else s[2] <= p[2] < s[3])
+    assert sorted((r.id, r.s) for r in got.collect()) == sorted((p[1], s[1]) for p in points for s in spans if holds(p, s))
+    # A span's rows don't depend on its length.
+    few = interval_join(left.limit(1), spark.createDataFrame([("a", 1, 0.0, 1e15)], "k string, s long, a double, b double"), ["k"], "t", "a", "b", 1.0)
+    assert few.count() <= 1
+
+
+def test_positions_far_apart(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_BITS", 3)
+    df = spark.createDataFrame([("a", i * 1000, i % 5) for i in range(200)] + [("a", -5000, 1), ("b", 2**62, 2), ("b", -(2**62), 3)], "k string, seq long, v long")
+    got = ordered.running_totals(df, ["k"], "seq", {"s": F.col("v")}, {"all": "s"}, width=10)
+    w = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    assert rows(got) == rows(df.select("*", F.sum("v").over(w).alias("s"), F.sum("v").over(W.partitionBy("k")).alias("all")))
+    value = F.when(F.col("v") == 1, F.col("seq"))
+    for current in (True, False):
+        last = ordered.carry_forward(df, ["k"], "seq", value, "last", width=10, current=current)
+        w = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, 0 if current else -1)
+        assert rows(last) == rows(df.withColumn("last", F.last(value, True).over(w)))
+
+
+def test_no_window_holds_a_whole_key(spark):
+    """Rows one to a chunk: the windows over their summaries go by blocks of chunks, and only blocks are taken by key."""
+    df = spark.range(1000).selectExpr("'a' AS k", "id * 65536L * 16777216L AS seq")
+    got = ordered.numbered(df, ["k"], "seq", "rn")
+    assert got.agg(F.max("rn"), F.countDistinct("rn")).first()[:] == (1000, 1000)
+    summaries = df.withColumns({"_chunk": F.expr("seq div 65536"), "_part": F.lit(0), "n": F.lit(1)})
+    blocks = ordered.scanned_before(summaries, ["k"], {"n": "n"}, ordered._sum).groupBy("k", ordered.BLOCK).count()
+    assert blocks.count() == 1000
