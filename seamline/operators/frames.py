@@ -1,17 +1,22 @@
 """Which instants of a video to look at, the frames found there, and the texts and roll-ups made of them."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seamline import fixed_values as fixed
 from seamline.functions.arrays import joined_in_order
+from seamline.functions.images import grids
 from seamline.functions.numbers import fixed as fixed_point, scaled_half_even
 from seamline.operators.intervals import interval_join
-from seamline.operators.ordered import asof_join, carry_forward
+from seamline.operators.ordered import asof_join
 from seamline.operators.skew import HOT_MIN_ROWS, skew_join
+from seamline.session import written
 
 VID = "video_id"
 SAMPLE = [VID, "segment_id", "ordinal"]
-SCENE_CHUNK_FRAMES = 256
 
 
 def sampling_plan(
@@ -127,22 +132,73 @@ def roll_up_segments(segments: DataFrame, analyses: DataFrame) -> DataFrame:
     )
 
 
+def _differences(kind: pa.DataType):
+    """Compares each frame with the one before it in the partition; a partition's first and last frame are given out whole."""
+    pixels_type = kind
+
+    def compare(batches):
+        part, last, first = TaskContext.get().partitionId(), None, True
+
+        def batch(rows):
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.string(), pixels_type]
+            names = ["video_id", "frame_no", "ts", "mean", "same", "part", "edge", "pixels"]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+        for frames in batches:
+            rows, whole = [], frames.column("pixels")
+            place = zip(*[frames.column(c).to_pylist() for c in ("video_id", "frame_no", "ts")])
+            for i, ((video, no, ts), image) in enumerate(zip(place, grids(whole))):
+                if first:
+                    rows.append((video, no, ts, None, None, part, "first", whole[i].as_py()))
+                    first = False
+                elif last[0] == video:
+                    rows.append((video, no, ts, *_difference(last[3], image), part, None, None))
+                last = video, no, ts, image, whole[i]
+            yield batch(rows)
+        if last is not None:
+            yield batch([(*last[:3], None, None, part, "last", last[4].as_py())])
+
+    return compare
+
+
+def _difference(before, now):
+    """(mean absolute difference, whether the size is the same); None is a frame that is no rectangle or empty."""
+    if before is None or now is None or before.shape != now.shape:
+        return None, before is None and now is None
+    return float(np.abs(before - now).mean()), True
+
+
 def scene_changes(frames: DataFrame, above: float) -> DataFrame:
-    """Frames whose mean absolute pixel difference to the frame before exceeds `above`, or whose size differs (`difference` null)."""
-    before = carry_forward(
-        frames.select(VID, "frame_no", "ts", "pixels"), [VID], "frame_no", F.col("pixels"), "_before",
-        width=SCENE_CHUNK_FRAMES, current=False,
-    )
-    gaps = F.zip_with(F.flatten("pixels"), F.flatten("_before"), lambda a, b: F.abs(a - b))
-    mean = F.aggregate(gaps, F.lit(0.0), lambda acc, d: acc + d) / F.size(gaps)
-    shape = lambda name: F.transform(name, lambda row: F.size(row))
-    same = shape("pixels") == shape("_before")
-    return (
-        before.filter(F.col("_before").isNotNull())
-        .withColumn("difference", F.when(same, F.round(mean, 6)))
-        .filter(~same | (F.col("difference") > above))
-        .select(VID, "frame_no", "ts", "difference")
+    """Frames whose mean absolute pixel difference to the frame before exceeds `above`, or whose size differs (`difference` null).
+
+    Frames are dealt by range in their order, once, and compared where they lie; only the last frame of each partition travels on to
+    the partition after it. Frames without pixels are passed over.
+    """
+    kind = to_arrow_type(frames.schema["pixels"].dataType)
+    order = [VID, "frame_no", "ts"]
+    known = frames.filter(F.col("pixels").isNotNull()).select(F.col(VID).cast("string").alias(VID), F.col("frame_no").cast("long").alias("frame_no"), F.col("ts").cast("double").alias("ts"), "pixels")
+    dealt = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    pixels = frames.schema["pixels"].dataType.simpleString()
+    compared = written(
+        dealt.mapInArrow(_differences(kind), f"video_id string, frame_no long, ts double, mean double, same boolean, part int, edge string, pixels {pixels}"), "differences"
     )
+    # Edges: two rows a partition; which partition comes before which is a matter of their numbers alone.
+    edges = compared.filter("edge IS NOT NULL")
+    numbers = edges.filter("edge = 'first'").select("part").withColumn("after", F.lag("part").over(W.orderBy("part")))
+    firsts = edges.filter("edge = 'first'").join(F.broadcast(numbers), "part").drop("mean", "same", "part", "edge")
+    lasts = edges.filter("edge = 'last'").select(F.col("part").alias("after"), F.col(VID).alias("_video"), F.col("pixels").alias("_before"))
+    met = firsts.join(lasts, "after").filter(F.col(VID).eqNullSafe(F.col("_video")))
+
+    @F.arrow_udf("struct<mean:double,same:boolean>")
+    def between(before: pa.Array, now: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(("mean", "same"), _difference(a, b))) for a, b in zip(grids(before), grids(now))], pa.struct([("mean", pa.float64()), ("same", pa.bool_())]))
+
+    columns = [VID, "frame_no", "ts", "mean", "same"]
+    at_edges = met.withColumn("_d", between("_before", "pixels")).select(VID, "frame_no", "ts", "_d.mean", "_d.same")
+    inside = compared.filter("edge IS NULL").select(columns)
+    judged = inside.unionByName(at_edges).withColumn("difference", F.when(F.col("same"), F.round("mean", 6)))
+    return judged.filter(~F.col("same") | (F.col("difference") > above)).select(VID, "frame_no", "ts", "difference")
 
 
 def transcript_context(

@@ -35,7 +35,7 @@ def matched_frames(
     pixels = frames.select(VID, "frame_no", "pixels").join(wanted, [VID, "frame_no"]).select("frame_id", "pixels")
     said = texts.join(wanted.select("frame_id"), "frame_id", "left_semi")
     found = detection.detection_summaries(
-        wanted, detection.match_names(said, catalog, min_rows=min_rows),
+        wanted, detection.match_names(said, catalog),
         detection.match_logos(pixels, available_logos(catalog, logos), threshold),
     )
     summaries = written(found.select("frame_id", "ocr_matches", "logo_matches"), "summaries")

@@ -58,12 +58,17 @@ def test_previous_analysis_and_context(spark):
     assert "Detection" not in told.select(frames.frame_context(F.lit(False))).first()[0]
 
 
-def test_scene_changes_cross_chunks(spark, monkeypatch):
-    monkeypatch.setattr(frames, "SCENE_CHUNK_FRAMES", 2)
-    shades = [0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 5.5]
-    df = spark.createDataFrame([("v", i, float(i), [[s, s], [s, s]]) for i, s in enumerate(shades)], "video_id string, frame_no long, ts double, pixels array<array<double>>")
-    got = frames.scene_changes(df, 0.6).orderBy("frame_no").collect()
-    assert [(r.frame_no, r.difference) for r in got] == [(2, 1.0), (4, 4.0)]
+def test_scene_changes_cross_partitions(spark):
+    shades = [0.0, 0.0, 1.0, 1.0, 5.0, 5.0, 5.5] * 30
+    data = [(v, i, float(i), [[s + k, s], [s, s]]) for k, v in enumerate(("v", "w", None)) for i, s in enumerate(shades)] + [("v", 1000, 0.0, None)]
+    df = spark.createDataFrame(data, "video_id string, frame_no long, ts double, pixels array<array<double>>").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = frames.scene_changes(df, 0.6).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    changes = [(i, abs(b - a)) for i, (a, b) in enumerate(zip(shades, shades[1:]), 1) if abs(b - a) > 0.6]
+    assert sorted((str(r.video_id), r.frame_no, r.difference) for r in got) == sorted((v, i, d) for v in ("v", "w", "None") for i, d in changes)
 
 
 def test_transcript_context_keeps_silent_samples(spark):
