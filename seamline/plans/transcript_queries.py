@@ -317,15 +317,42 @@ def a2(spark, folder):
     return found.select("doc_id", "topic_id", F.round("weight", 6).alias("weight"), F.array_join("words", ", ").alias("words"))
 
 
+A2_TOKENS = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN {T3_STOPS})"""
+
+
 @query(
     "a2_topic_mixtures",
-    f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN {T3_STOPS})) AS INTEGER) AS n_tokens,
-      1.0 AS mixture, true AS known_topic FROM documents""",
+    f"""SELECT doc_id, n_tokens, CASE WHEN n_tokens > 0 THEN CAST(1 AS DOUBLE) END AS mixture, CASE WHEN n_tokens > 0 THEN true END AS known_topic,
+      CASE WHEN n_tokens > 0 THEN true END AS steady FROM (SELECT doc_id, CAST(len({A2_TOKENS}) AS INTEGER) AS n_tokens FROM documents)""",
 )
 def a2_mixtures(spark, folder):
-    found = topics.lda_topics(table(spark, folder, "documents"), "doc_id", "text")
+    """Whether every mixture sums to 1, names a topic, and stays as it is (to 0.01) when worked out again from the stored weights."""
+    listed = written(topics.bucketed(table(spark, folder, "documents"), "doc_id", "text"), "tokens")
+    model = topics.fit_topics(listed)
+    found = written(topics.named_topics(model, listed, "doc_id").select("doc_id", "n_tokens", "mix", "topic_id"), "mixtures")
+    gaps = topics.fixed_point_gap(model, found, listed, "doc_id")
     total = F.round(F.aggregate("mix", F.lit(0.0), lambda a, x: a + x), 6)
-    return found.select("doc_id", "n_tokens", total.alias("mixture"), F.col("topic_id").between(0, fixed.LDA_TOPICS - 1).alias("known_topic"))
+    return found.join(gaps, "doc_id", "left").select(
+        "doc_id", "n_tokens", total.alias("mixture"), F.col("topic_id").between(0, fixed.LDA_TOPICS - 1).alias("known_topic"), (F.col("gap") < 0.01).alias("steady")
+    )
+
+
+@query(
+    "a2_held_out_topics",
+    f"""SELECT lang, count(*) AS documents, true AS better FROM documents
+    WHERE doc_id % 5 = 0 AND len({A2_TOKENS}) >= 20 GROUP BY lang""",
+)
+def a2_held_out(spark, folder):
+    """Of documents the fit has not seen, every other token is told by topics inferred from the rest: better than by its share of all tokens?"""
+    docs = table(spark, folder, "documents")
+    listed = written(topics.bucketed(docs, "doc_id", "text"), "tokens")
+    model = topics.fit_topics(listed.filter("doc_id % 5 <> 0"))
+    half = lambda odd: F.filter("tokens", lambda _, i: i % 2 == odd)
+    unseen = listed.filter((F.col("doc_id") % 5 == 0) & (F.size("tokens") >= 20))
+    mixed = topics.mixtures(model, unseen.withColumn("tokens", half(0)), "doc_id")
+    told = topics.log_likelihoods(model, mixed, unseen.withColumn("tokens", half(1)), "doc_id")
+    by_lang = unseen.select("doc_id").join(told, "doc_id", "left").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang")
+    return by_lang.agg(F.count(F.lit(1)).alias("documents"), (F.sum("by_topics") > F.sum("by_shares")).alias("better"))
 
 
 A3_TF = """(SELECT transcript_id, segment_id, term, count(*) AS n FROM (
