@@ -323,17 +323,19 @@ A2_TOKENS = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]
 @query(
     "a2_topic_mixtures",
     f"""SELECT doc_id, n_tokens, CASE WHEN n_tokens > 0 THEN CAST(1 AS DOUBLE) END AS mixture, CASE WHEN n_tokens > 0 THEN true END AS known_topic,
-      CASE WHEN n_tokens > 0 THEN true END AS steady FROM (SELECT doc_id, CAST(len({A2_TOKENS}) AS INTEGER) AS n_tokens FROM documents)""",
+      CASE WHEN n_tokens > 0 THEN true END AS steady, CASE WHEN n_tokens > 0 THEN true END AS fits FROM (SELECT doc_id, CAST(len({A2_TOKENS}) AS INTEGER) AS n_tokens FROM documents)""",
 )
 def a2_mixtures(spark, folder):
-    """Whether every mixture sums to 1, names a topic, and stays as it is (to 0.01) when worked out again from the stored weights."""
+    """Whether every mixture sums to 1, names a topic, stays as it is (to 0.01) when worked out again from the stored weights, and makes the
+    text no less likely than all topics in equal parts do."""
     listed = written(topics.bucketed(table(spark, folder, "documents"), "doc_id", "text"), "tokens")
     model = topics.fit_topics(listed)
     found = written(topics.named_topics(model, listed, "doc_id").select("doc_id", "n_tokens", "mix", "topic_id"), "mixtures")
     gaps = topics.fixed_point_gap(model, found, listed, "doc_id")
+    told = topics.log_likelihoods(model, found, listed, "doc_id").selectExpr("doc_id", "by_topics >= by_even - 1e-6 * n_scored AS fits")
     total = F.round(F.aggregate("mix", F.lit(0.0), lambda a, x: a + x), 6)
-    return found.join(gaps, "doc_id", "left").select(
-        "doc_id", "n_tokens", total.alias("mixture"), F.col("topic_id").between(0, fixed.LDA_TOPICS - 1).alias("known_topic"), (F.col("gap") < 0.01).alias("steady")
+    return found.join(gaps, "doc_id", "left").join(told, "doc_id", "left").select(
+        "doc_id", "n_tokens", total.alias("mixture"), F.col("topic_id").between(0, fixed.LDA_TOPICS - 1).alias("known_topic"), (F.col("gap") < 0.01).alias("steady"), "fits"
     )
 
 
