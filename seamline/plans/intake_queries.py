@@ -1,14 +1,16 @@
 """Registered queries: input routing, incremental work, stores, streaming."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from seamline.operators import intake
-from seamline.plans.adapters import TURN_SPAN, days, given, listing, table, timed, with_ctes
+from seamline.plans.adapters import TURN_SPAN, days, given, listing, table, talk, timed, with_ctes
 from seamline.plans.registry import query
+from seamline.plans.stages import run_stages
 from seamline.plans.transcript_queries import FLAT_SEGMENTS, flat
-from seamline.session import scratch_folder
-from seamline.sources.stores import SegmentStore, ThumbnailStore
-from seamline.streaming.ingest import TranscriptIngest
+from seamline.session import scratch_folder, written
+from seamline.sources.stores import SegmentStore, StageStates, ThumbnailStore
+from seamline.sources.transcripts import exploded
+from seamline.streaming.ingest import TranscriptIngest, stream_transcript_lines
 
 URL = r"^(https?://)?(www\.)?(youtube\.com/watch\?v=|youtu\.be/)[a-zA-Z0-9_-]{11}$"
 
@@ -129,25 +131,65 @@ def s7(spark, folder):
 
 @query(
     "s8_thumbnail_store",
-    """SELECT CAST(user_id AS VARCHAR) AS video_id, concat('/thumbs/', event_id, '.jpg') AS path, CAST(event_id % 50 AS INT) AS index FROM events
-    WHERE (user_id % 3 = 0 AND event_type = 'view') OR (user_id % 3 = 1 AND event_type = 'error') OR (user_id % 3 = 2 AND event_type IN ('click', 'error'))""",
+    """SELECT CAST(user_id AS VARCHAR) AS video_id, concat('/thumbs/', event_id, '.jpg') AS path, CAST(event_id % 50 AS INT) AS index FROM (
+      SELECT *, bool_or(event_type = 'signup') OVER w AS signed, bool_or(event_type = 'purchase') OVER w AS bought
+      FROM events WINDOW w AS (PARTITION BY user_id))
+    WHERE CASE user_id % 3
+      WHEN 0 THEN event_type IN ('error', 'purchase') OR (event_type IN ('click', 'view') AND NOT signed)
+      WHEN 1 THEN event_type IN ('purchase', 'signup') OR NOT bought ELSE true END""",
 )
 def s8(spark, folder):
-    # Every video gets its clicks, then its errors; a third is cleared before the errors, another third
-    # has its list replaced by its views after them.
+    """Every event changes a list: clicks, views and errors are entries; a third of the videos is cleared at its signups, before the errors; another third
+    has its list replaced by its purchases; the other signups and purchases are entries too."""
     entries = table(spark, folder, "events").selectExpr(
         "CAST(user_id AS STRING) AS video_id", "user_id % 3 AS part", "event_type", "concat('/thumbs/', event_id, '.jpg') AS path",
         "CAST(event_id % 50 AS INT) AS index",
     )
-    store = ThumbnailStore(spark, scratch_folder(spark, "thumbnails"))
-    store.append(entries.filter("event_type = 'click'"), 1)
-    store.clear(entries.filter("part < 2"), 2)
+    store = ThumbnailStore(spark, scratch_folder(spark, "thumbnails"), buckets=8)
+    store.append(entries.filter("event_type IN ('click', 'view')"), 1)
+    store.clear(entries.filter("event_type = 'signup' AND part = 0"), 2)
     store.append(entries.filter("event_type = 'error'"), 3)
-    store.clear(entries.filter("part = 0"), 4)
-    store.replace(entries.filter("part = 0 AND event_type = 'view'"), 5)
+    store.replace(entries.filter("event_type = 'purchase' AND part = 1"), 4)
+    store.append(entries.filter("event_type IN ('signup', 'purchase') AND NOT (event_type = 'signup' AND part = 0) AND NOT (event_type = 'purchase' AND part = 1)"), 5)
     return store.thumbnails().select("video_id", "path", "index")
 
 
+@query(
+    "i4_resumed_stages",
+    with_ctes(
+        ["days"],
+        f"""SELECT video_id, segment_id, start_time, end_time, CASE WHEN {DONE} THEN 'first' ELSE 'second' END AS analyzed_in, 9 AS stage FROM days""",
+    ),
+)
+def i4_resumed(spark, folder):
+    """Videos go through their stages; the analysis fails in the first run when part of it is stored, and the second run goes on from there."""
+    work = written(days(spark, folder).select("video_id", "segment_id", "start_time", "end_time"), "segments")
+    place = scratch_folder(spark, "project")
+    states, store = StageStates(spark, f"{place}/states"), SegmentStore(spark, f"{place}/analyzed", T.StructType([*work.schema.fields, T.StructField("analyzed_in", T.StringType())]), buckets=8)
+    projects = work.select(F.col("video_id").alias("project")).distinct()
+
+    def analysis(run):
+        def analyze(pending):
+            own = work.join(pending.withColumnRenamed("project", "video_id"), "video_id", "left_semi").withColumn("analyzed_in", F.lit(run))
+            if run == "first":
+                store.append_new(own.filter(DONE), run)
+                raise RuntimeError("stopped halfway")
+            store.append_new(own, run)
+
+        return analyze
+
+    def stages(run):
+        return [("SEGMENTS_IDENTIFIED", lambda pending: None), ("VIDEO_ANALYZED", analysis(run)), ("PROCESS_COMPLETE", lambda pending: None)]
+
+    if run_stages(projects, states, stages("first"), "first") != "VIDEO_ANALYZED: stopped halfway":
+        raise RuntimeError("the first run should have stopped")
+    failed = run_stages(projects, states, stages("second"), "second")
+    if failed:
+        raise RuntimeError(failed)
+    latest = states.load().groupBy(F.col("project").alias("video_id")).agg(F.max("stage").alias("stage"))
+    return store.load().join(latest, "video_id")
+
+
 @query("x1_streamed_segments", with_ctes(["talk_segments"], f"SELECT {FLAT_SEGMENTS} FROM talk_segments"))
 def x1(spark, folder):
     arriving = (
@@ -161,3 +203,22 @@ def x1(spark, folder):
     ingest = TranscriptIngest(spark, scratch_folder(spark, "ingest"), size=2, buckets=8)
     ingest.run(arriving)
     return flat(ingest.segments())
+
+
+@query("x1_streamed_json_files", with_ctes(["talk_segments"], f"SELECT {FLAT_SEGMENTS} FROM talk_segments"))
+def x1_json(spark, folder):
+    """Conversations as JSON files in four micro-batches; long ones come in two pieces; the last micro-batch comes twice; folders are merged on the way."""
+    files, out = scratch_folder(spark, "inbox"), scratch_folder(spark, "ingest")
+    said = talk(spark, folder).withColumn("_file", F.expr("CAST(transcript_id AS BIGINT) % 3 + IF(seq >= 4, 1, 0)"))
+    whole = talk(spark, folder).groupBy("transcript_id").agg(F.min("seq").alias("_first"))
+    lines = said.join(whole, "transcript_id").groupBy("transcript_id", "_file").agg(
+        (F.min("seq") - F.first("_first")).alias("first"),
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "content", "start", "end"))), lambda u: F.struct(u["content"].alias("content"), u["start"].alias("start"), u["end"].alias("end"))).alias("utterances"),
+    )
+    stored = written(lines, "lines")
+    ingest = TranscriptIngest(spark, out, size=2, buckets=8, most=2)
+    for number in range(4):
+        stored.filter(F.col("_file") == number).drop("_file").write.mode("append").json(files)
+        ingest.run(stream_transcript_lines(spark, files))
+    ingest.on_batch(exploded(stored.filter("_file = 3")), 3)
+    return flat(ingest.segments())

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 
 from seamline import fixed_values as fixed
 from seamline.operators.annotation import annotations_from_responses, batches_with_terms, completed_annotations, native_annotation
-from seamline.operators.batching import assign_batches
+from seamline.operators.batching import assign_batches, batches_with_context, distinct_requests, share_answers
 from seamline.operators.segmenting import decide_segments, merge_segments, segment_metadata, segment_spans
 from seamline.session import written
+from seamline.sources.stores import AnswerStore
 
 
 def annotated_batches(utterances: DataFrame, size: int = fixed.BATCH_SIZE) -> DataFrame:
@@ -51,3 +52,15 @@ def segment_spans_of(
         decided.select("transcript_id", "batch_id", "segment_id"), ["transcript_id", "batch_id"]
     )
     return segment_spans(batches, decided), placed
+
+
+def segment_with_answers(utterances: DataFrame, store: AnswerStore, ask: Callable[[DataFrame], DataFrame], run: str, size: int = fixed.BATCH_SIZE) -> DataFrame:
+    """Segments from answers of a model: requests that no earlier run has answered are asked once each, and shared back to all batches with that content.
+
+    `ask` maps requests (request_id, content, prev_content, uses) to (request_id, response); a request without an answer gets the defaults.
+    """
+    grouped = written(batches_with_context(assign_batches(utterances, size)), "batches")
+    store.answer(distinct_requests(grouped), ask, run)
+    responses = share_answers(grouped, store.load()).select("transcript_id", "batch_id", "response")
+    annotation = written(annotate_from(responses)(grouped), "annotation")
+    return segment_metadata(merge_segments(grouped, decide_segments(annotation)))

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from seamline import fixed_values as fixed
 from seamline.functions.text import cleaned, sentences, similarity
 from seamline.operators import annotation, batching, prompts, segmenting, topics
-from seamline.plans.adapters import RESPONSE, paper, table, talk, with_ctes
+from seamline.plans.adapters import RESPONSE, cte, paper, segments_cte, table, talk, with_ctes
 from seamline.plans.registry import query
-from seamline.plans.transcript import annotated_batches, segment_transcripts
+from seamline.plans.transcript import annotated_batches, segment_transcripts, segment_with_answers
 from seamline.session import scratch_folder, written
 from seamline.sources import catalogs, stores, transcripts
+from seamline.sources.stores import AnswerStore
 
 TID = "transcript_id"
 UTTERANCE = '"transcript_id", seq, content, "start", "end"'
@@ -218,6 +219,32 @@ def t9_shared(spark, folder):
     return batching.share_answers(grouped, answers).select(TID, "batch_id", "answer")
 
 
+# Answers that depend on what is asked alone.
+LENGTHS = "(length(content) + 3 * coalesce(length(prev_content), 0))"
+CHANGE = f"CASE {LENGTHS} % 3 WHEN 0 THEN 'NEW' WHEN 1 THEN 'SHIFT' ELSE 'CONTINUATION' END"
+TOLD = f"""CASE WHEN {LENGTHS} % 9 = 0 THEN 'I cannot tell.' ELSE concat('{{"topic":"topic ', {LENGTHS} % 5, '","keywords":["k', {LENGTHS} % 11,
+  '"],"relationship":"', {CHANGE}, '","confidence":', 60 + {LENGTHS} % 41, '}}') END"""
+cte(
+    "asked",
+    f"""SELECT transcript_id, batch_id, CASE WHEN {LENGTHS} % 9 = 0 THEN 'Unknown' ELSE concat('topic ', {LENGTHS} % 5) END AS topic,
+      CASE WHEN {LENGTHS} % 9 = 0 THEN '' ELSE concat('k', {LENGTHS} % 11) END AS keywords,
+      CASE WHEN {LENGTHS} % 9 = 0 THEN 'NEW' ELSE {CHANGE} END AS relationship,
+      CASE WHEN {LENGTHS} % 9 = 0 THEN 0.0::DOUBLE ELSE (60 + {LENGTHS} % 41)::DOUBLE END AS confidence FROM {GROUPED.format('talk2_batches')}""",
+    ["talk2_batches"],
+)
+segments_cte("asked", "talk2_batches", "asked")
+
+
+@query("t9_segments_from_answers", with_ctes(["asked_segments"], f"SELECT {FLAT_SEGMENTS} FROM asked_segments"))
+def t9_segments(spark, folder):
+    """Requests, answers and segments: half of the conversations first, then all, asking only what has no answer yet."""
+    store = AnswerStore(spark, scratch_folder(spark, "answers"))
+    ask = lambda requests: requests.selectExpr("request_id", f"{TOLD} AS response")
+    said = talk(spark, folder)
+    segment_with_answers(said.filter("CAST(transcript_id AS BIGINT) % 2 = 0"), store, ask, "1", 2)
+    return flat(segment_with_answers(said, store, ask, "2", 2))
+
+
 def _talk_batches(spark, folder):
     return batching.combine_batches(batching.assign_batches(talk(spark, folder), 2))
 

@@ -1,13 +1,14 @@
-"""Stored results: documents, analysed segments and thumbnail lists.
+"""Stored results: documents, analysed segments, answers, stage states and thumbnail lists.
 
 Every write is a new folder named by the caller's run id, replaced as a whole if that run is repeated,
-so a job that dies halfway and runs again leaves nothing twice.
+so a job that dies halfway and runs again leaves nothing twice. Thumbnail lists change; they are rewritten by buckets.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seamline.operators.intake import not_yet_done
-from seamline.operators.skew import skew_join
+from seamline.session import written
 from seamline.sources.transcripts import BUCKETS, bucket_of
 
 ANALYZED = ["video_id", "segment_id"]
@@ -22,21 +23,63 @@ def load_documents(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def stored_or_none(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What is stored at `path`; no rows if nothing is yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+class AnswerStore:
+    """Answers to requests by the hash of their content: a request is asked once, whatever run or batch it comes from."""
+
+    SCHEMA = "request_id string, response string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _runs(self) -> DataFrame:
+        return stored_or_none(self.spark, self.path, self.SCHEMA + ", run string")
+
+    def load(self) -> DataFrame:
+        return self._runs().drop("run")
+
+    def answer(self, requests: DataFrame, ask, run: str) -> None:
+        """Have `ask` (requests -> request_id, response) answer what no other run has answered, and add its answers as run `run`."""
+        open_ones = not_yet_done(requests, self._runs().filter(F.col("run") != run), ["request_id"])
+        answers = ask(open_ones).select("request_id", "response").filter("response IS NOT NULL")
+        answers.write.mode("overwrite").parquet(f"{self.path}/run={run}")
+
+
+class StageStates:
+    """Which stages each project has passed, only ever added to; the latest entry counts."""
+
+    SCHEMA = "project string, stage int, saved_at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def load(self) -> DataFrame:
+        return stored_or_none(self.spark, self.path, self.SCHEMA + ", entry string").drop("entry")
+
+    def record(self, projects: DataFrame, stage: int, run: str) -> None:
+        """Note that these projects have passed `stage`."""
+        noted = projects.select("project", F.lit(stage).alias("stage"), F.current_timestamp().alias("saved_at")).distinct()
+        noted.write.mode("overwrite").parquet(f"{self.path}/entry={run}-{stage}")
+
+
 class SegmentStore:
     """Analysed segments, added to as work gets done."""
 
     def __init__(self, spark: SparkSession, path: str, schema, buckets: int = BUCKETS):
         self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
 
-    def _exists(self) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-
     def _runs(self) -> DataFrame:
         placed = T.StructType([*self.schema.fields, T.StructField("run", T.StringType()), T.StructField("bucket", T.IntegerType())])
-        if not self._exists():
-            return self.spark.createDataFrame([], placed)
-        return self.spark.read.schema(placed).parquet(self.path)
+        return stored_or_none(self.spark, self.path, placed)
 
     def load(self) -> DataFrame:
         return self._runs().drop("run", "bucket")
@@ -55,48 +98,52 @@ class SegmentStore:
 
 
 class ThumbnailStore:
-    """Thumbnail lists per video as a log: entries are added, a whole list is replaced, or it is cleared.
+    """Thumbnail lists as Parquet by bucket of videos; a change rewrites the buckets of the videos it names and reads no others.
 
-    Nothing stored is rewritten; the current lists are what the log says after each video's last reset.
+    What a bucket is to hold is worked out and stored first and then takes the place of its folder, so a reader sees the old list or
+    the new one, and a step that dies and runs again changes nothing twice (entries of the same step are replaced). Each video that was ever
+    changed keeps a row without an entry that says when.
     """
 
-    SCHEMA = (
-        "video_id string, op string, step bigint, path string, time double, url string, index int, source string, "
-        "saved_at timestamp"
-    )
-    FIELDS = ["path", "time", "url", "index", "source"]
+    FIELDS = {"path": "string", "time": "double", "url": "string", "index": "int", "source": "string"}
+    SCHEMA = "video_id string, entry boolean, step bigint, saved_at timestamp, path string, time double, url string, index int, source string"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def _log(self, rows: DataFrame, op: str, step: int) -> None:
-        kinds = {f.split()[0]: f.split()[1] for f in self.SCHEMA.split(", ")}
-        values = [F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in self.FIELDS]
-        logged = rows.select(
-            "video_id", F.lit(op).alias("op"), F.lit(step).cast("long").alias("step"), *values,
-            F.current_timestamp().alias("saved_at"),
-        )
-        logged.write.mode("overwrite").parquet(f"{self.path}/step={step:012d}-{op}")
+    def _stored(self) -> DataFrame:
+        return stored_or_none(self.spark, self.path, self.SCHEMA + ", bucket int")
+
+    def _change(self, rows: DataFrame, step: int, adds: bool, keeps: bool) -> None:
+        columns = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in self.FIELDS.items()]
+        mark = [F.lit(step).cast("long").alias("step"), F.current_timestamp().alias("saved_at")]
+        videos = rows.select("video_id").distinct()
+        changed = videos.select("video_id", F.lit(False).alias("entry"), *mark, *[F.lit(None).cast(t).alias(c) for c, t in self.FIELDS.items()])
+        if adds:
+            changed = changed.unionByName(rows.select("video_id", F.lit(True).alias("entry"), *mark, *columns))
+        changed = changed.withColumn("bucket", bucket_of("video_id", self.buckets))
+        # At most `buckets` rows, whatever the data.
+        touched = F.broadcast(videos.select(bucket_of("video_id", self.buckets).alias("bucket")).distinct())
+        held = self._stored().join(touched, "bucket", "left_semi")
+        others = held.filter(F.col("step") != step)
+        marks = others.filter("NOT entry").join(videos, "video_id", "left_anti")
+        entries = others.filter("entry") if keeps else others.filter("entry").join(videos, "video_id", "left_anti")
+        new = written(marks.unionByName(entries).unionByName(changed), "thumbnails")
+        new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def append(self, thumbnails: DataFrame, step: int) -> None:
-        self._log(thumbnails, "append", step)
+        self._change(thumbnails, step, adds=True, keeps=True)
 
     def replace(self, thumbnails: DataFrame, step: int) -> None:
         """Make these the whole list of every video they name."""
-        self._log(thumbnails, "replace", step)
+        self._change(thumbnails, step, adds=True, keeps=False)
 
     def clear(self, videos: DataFrame, step: int) -> None:
-        self._log(videos.select("video_id").distinct(), "clear", step)
-
-    def _entries(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
+        self._change(videos.select("video_id"), step, adds=False, keeps=False)
 
     def thumbnails(self) -> DataFrame:
         """The current entries of every video."""
-        log = self._entries()
-        resets = log.groupBy("video_id").agg(F.max(F.when(F.col("op") != "append", F.col("step"))).alias("_since"))
-        current = skew_join(log.filter("op <> 'clear'"), resets, ["video_id"])
-        return current.filter(F.col("_since").isNull() | (F.col("step") >= F.col("_since"))).select("video_id", *self.FIELDS)
+        return self._stored().filter("entry").select("video_id", *self.FIELDS)
 
     def last_updated(self) -> DataFrame:
-        return self._entries().groupBy("video_id").agg(F.max("saved_at").alias("last_updated"))
+        return self._stored().filter("NOT entry").select("video_id", F.col("saved_at").alias("last_updated"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from seamline.operators import intake
 from seamline.sources import catalogs, transcripts
-from seamline.sources.stores import SegmentStore, ThumbnailStore
+from seamline.plans.stages import run_stages
+from seamline.sources.stores import AnswerStore, SegmentStore, StageStates, ThumbnailStore
 from seamline.streaming.ingest import TranscriptIngest, stream_transcript_lines
 
 
@@ -99,17 +100,83 @@ def test_segment_store_adds_nothing_twice(spark, tmp_path):
 
 
 def test_thumbnail_store(spark, tmp_path):
-    entry = lambda *ids: spark.createDataFrame([("v", f"/t{i}", i) for i in ids], "video_id string, path string, index int")
-    store = ThumbnailStore(spark, str(tmp_path / "t"))
-    listed = lambda: sorted(r["index"] for r in store.thumbnails().collect())
+    entry = lambda *ids, video="v": spark.createDataFrame([(video, f"/t{i}", i) for i in ids], "video_id string, path string, index int")
+    store = ThumbnailStore(spark, str(tmp_path / "t"), buckets=2)
+    listed = lambda video="v": sorted(r["index"] for r in store.thumbnails().filter(F.col("video_id") == video).collect())
+    assert listed() == []
     store.append(entry(1), 1)
     store.append(entry(2), 2)
+    store.append(entry(2), 2)
+    store.append(entry(7, 8, video="w"), 3)
     assert listed() == [1, 2]
-    store.replace(entry(3, 4), 3)
-    store.append(entry(5), 4)
+    store.replace(entry(3, 4), 4)
+    store.append(entry(5), 5)
     assert listed() == [3, 4, 5]
-    store.clear(entry(0), 5)
-    assert listed() == [] and store.last_updated().count() == 1
+    store.clear(entry(0), 6)
+    assert listed() == [] and listed("w") == [7, 8] and store.last_updated().count() == 2
+
+
+def test_a_change_leaves_other_buckets_alone(spark, tmp_path):
+    store = ThumbnailStore(spark, str(tmp_path / "t"), buckets=8)
+    store.append(spark.range(40).selectExpr("CAST(id AS STRING) AS video_id", "concat('/t', id) AS path"), 1)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    store.replace(spark.createDataFrame([("3", "/new")], "video_id string, path string"), 2)
+    changed = {p.parent.name for p, _ in set(before.items()) ^ set(files().items())}
+    assert len(changed) == 1 and store.thumbnails().count() == 40 and store.thumbnails().filter("path = '/new'").count() == 1
+
+
+def test_requests_are_asked_once(spark, tmp_path):
+    store, asked = AnswerStore(spark, str(tmp_path / "a")), []
+
+    def ask(requests):
+        asked.append(requests.count())
+        return requests.selectExpr("request_id", "IF(request_id = 'c', NULL, concat('to ', request_id)) AS response")
+
+    requests = lambda *ids: spark.createDataFrame([(i,) for i in ids], "request_id string")
+    store.answer(requests("a", "b"), ask, "1")
+    store.answer(requests("a", "b", "c"), ask, "2")
+    store.answer(requests("a", "b", "c", "d"), ask, "3")
+    store.answer(requests("a", "b", "c", "d"), ask, "3")
+    assert asked == [2, 1, 2, 2]
+    assert sorted(tuple(r) for r in store.load().collect()) == [("a", "to a"), ("b", "to b"), ("d", "to d")]
+
+
+def test_stages_go_on_where_they_stopped(spark, tmp_path):
+    states, done = StageStates(spark, str(tmp_path / "s")), []
+    projects = lambda *names: spark.createDataFrame([(n,) for n in names], "project string")
+
+    def stage(name, fails=()):
+        def work(pending):
+            here = sorted(r.project for r in pending.collect())
+            done.append((name, here))
+            if name in fails:
+                raise ValueError("no")
+
+        return name, work
+
+    first = [stage("AUDIO_PROCESSED"), stage("VIDEO_ANALYZED", ["VIDEO_ANALYZED"]), stage("PROCESS_COMPLETE")]
+    assert run_stages(projects("a", "b"), states, first, "1") == "VIDEO_ANALYZED: no"
+    second = [stage("AUDIO_PROCESSED"), stage("VIDEO_ANALYZED"), stage("PROCESS_COMPLETE")]
+    assert run_stages(projects("a", "b", "c"), states, second, "2") is None
+    assert done == [
+        ("AUDIO_PROCESSED", ["a", "b"]), ("VIDEO_ANALYZED", ["a", "b"]),
+        ("AUDIO_PROCESSED", ["c"]), ("VIDEO_ANALYZED", ["a", "b", "c"]), ("PROCESS_COMPLETE", ["a", "b", "c"]),
+    ]
+    assert run_stages(projects("a", "b", "c"), states, second, "3") is None and done[-1] == ("PROCESS_COMPLETE", [])
+
+
+def test_micro_batches_are_merged(spark, tmp_path):
+    ingest = TranscriptIngest(spark, str(tmp_path / "out"), size=2, buckets=2, most=2)
+    batch = lambda tid, first, *words: spark.createDataFrame([(tid, first + i, w, float(first + i), first + i + 0.5) for i, w in enumerate(words)], "transcript_id string, seq long, content string, start double, end double")
+    arrivals = [batch("a", 0, "one two", "one two"), batch("b", 0, "red"), batch("a", 2, "one two"), batch("c", 0, "blue"), batch("b", 0, "green")]
+    for number, rows in enumerate(arrivals):
+        ingest.on_batch(rows, number)
+        if number == 2:
+            ingest.on_batch(rows, number)
+        assert len(ingest.live_folders("utterances")) <= 3 and len(ingest.live_folders("segments")) <= 3
+    text = {r.transcript_id: r.transcript for r in ingest.segments().collect()}
+    assert text == {"a": "one two one two one two", "b": "green", "c": "blue"}
 
 
 def test_streaming_picks_up_files_once_and_extends_transcripts(spark, tmp_path):
