@@ -7,7 +7,7 @@ from seamline.functions.text import cleaned, sentences, similarity
 from seamline.operators import annotation, batching, prompts, segmenting, topics
 from seamline.plans.adapters import RESPONSE, cte, paper, segments_cte, table, talk, with_ctes
 from seamline.plans.registry import query
-from seamline.plans.transcript import annotated_batches, segment_transcripts, segment_with_answers
+from seamline.plans.transcript import annotated_batches, segment_spans_of, segment_transcripts, segment_with_answers
 from seamline.session import scratch_folder, written
 from seamline.sources import catalogs, stores, transcripts
 from seamline.sources.stores import AnswerStore
@@ -423,3 +423,18 @@ def segments_of_conversations(spark, folder):
 @query("segments_of_documents", with_ctes(["paper_segments"], f"SELECT {FLAT_SEGMENTS} FROM paper_segments"))
 def segments_of_documents(spark, folder):
     return flat(segment_transcripts(paper(spark, folder)))
+
+
+@query(
+    "t12_segments_in_pieces",
+    with_ctes(
+        ["paper_segments", "paper_decided", "paper5_batches"],
+        """SELECT transcript_id, segment_id, batch_id, content, start_time, end_time, dominant_topic AS topic FROM paper5_batches
+        JOIN paper_decided USING (transcript_id, batch_id) JOIN paper_segments USING (transcript_id, segment_id)""",
+    ),
+)
+def t12_in_pieces(spark, folder):
+    """Whole documents segmented without any text in one cell: a segment's text is its rows in order of `batch_id`."""
+    spans, placed = segment_spans_of(paper(spark, folder))
+    spans = spans.select(TID, "segment_id", F.col("start").alias("start_time"), F.col("end").alias("end_time"), "topic")
+    return placed.drop("start", "end").join(spans, [TID, "segment_id"]).select(TID, "segment_id", "batch_id", "content", "start_time", "end_time", "topic")
