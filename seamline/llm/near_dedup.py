@@ -9,8 +9,9 @@ process ends once its next point comes later than all components.
 
 Equal documents are one node. Nodes that agree in a band of the signature are candidates. A bucket's members are compared with
 its smallest member only; exact multiset overlap decides, and components join what is linked. Where a bucket then still holds
-several components, its remaining pairs across them are compared as well. One kind of them needs no comparison: Jaccard distance is
-a metric, so what is nearer than 0.2 to the bucket's smallest member is never within 0.2 of what is farther than 0.4 from it.
+several components, its members are compared across them in tiles (`tiles`): first by signature, which leaves the members that have a
+likely partner, then these by their multisets, as products of matrices over the shingles that occur more than once in the tile. A
+tile gives out one link for each two components it joins, so rows grow with members and links, never with pairs.
 
 Words are the stretches between ASCII white space, in lower case. Shorter documents have one shingle of all their words. Cases: a
 null or blank text has no words and is near to nothing, not even its like; each such row is a class of its own. Of each class the
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from seamline.llm.components import roots, with_roots
 from seamline.llm.fast_words import BY_SPACE, mixed, slabs, stretch_hash, stretch_sums, words
 from seamline.llm.tables import small_side
+from seamline.llm.tiles import tile_by_tile, tiles
 from seamline.session import written
 
 WORDS = 5
@@ -34,8 +36,11 @@ BANDS, ROWS = 32, 5
 COMPONENTS = BANDS * ROWS
 #: Agreeing signature components below which a pair isn't compared: over eight standard deviations below what 0.8 gives.
 LEAST_AGREEING = int(0.52 * COMPONENTS)
-#: How far the share of agreeing components may lie from the similarity: over five standard deviations.
-SURE = 0.21
+#: Members, and numbers of their multisets, in one block of a tile: 8 MB of either side.
+BLOCK_MEMBERS = 2048
+BLOCK_NUMBERS = 1 << 20
+#: Cells of the matrices compared at a time in a tile.
+CELLS = 1 << 23
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,6 +135,55 @@ def _agreeing(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((left == right).sum(axis=1), pa.int32())], ["a", "b", "agree"])
 
 
+def _with_likely_partners(tile, left, right):
+    """The members of a tile that agree with a member of another component in enough signature components."""
+    short = np.frombuffer(b"".join(tile.column("short").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+    root, found = tile.column("root").to_numpy(), np.zeros(len(short), bool)
+    step = max(1, CELLS // (COMPONENTS * len(right)))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        agree = (short[rows][:, None, :] == short[right][None]).sum(axis=2, dtype=np.uint16)
+        likely = (agree >= LEAST_AGREEING) & (root[rows][:, None] != root[right][None])
+        found[rows] |= likely.any(axis=1)
+        found[right] |= likely.any(axis=0)
+    own = np.flatnonzero(found)
+    return [pa.array(tile.column("bucket").to_numpy()[own]), pa.array(tile.column("node").to_numpy()[own])] if len(own) else None
+
+
+def _links(similarity):
+    def compare(tile, left, right):
+        bodies, n = tile.column("body").combine_chunks(), tile.num_rows
+        if isinstance(bodies, pa.ChunkedArray):
+            bodies = bodies.chunk(0)
+        sizes, ids = np.diff(bodies.offsets.to_numpy()), bodies.flatten().to_numpy()
+        own, order = np.repeat(np.arange(n), sizes), np.argsort(ids, kind="stable")
+        own, ids = own[order], ids[order]
+        first = np.concatenate([[True], ids[1:] != ids[:-1]])
+        run = np.cumsum(first) - 1
+        often = np.bincount(run)[run] > 1  # a number of one text alone is in no overlap
+        own, column = own[often], (np.cumsum(first[often]) - 1)
+        both, step = np.zeros((len(left), len(right)), np.float32), max(1, CELLS // n)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            a, b = np.searchsorted(column, [at, at + step])
+            holds = np.zeros((n, step), np.float32)
+            holds[own[a:b], column[a:b] - at] = 1
+            both += holds[left] @ holds[right].T
+        either = sizes[left][:, None] + sizes[right][None] - both.astype(float)
+        root, node = tile.column("root").to_numpy(), tile.column("node").to_numpy()
+        x, y = np.nonzero((both / np.maximum(either, 1) >= similarity) & (root[left][:, None] < root[right][None]))
+        if left is not right:
+            p, q = np.nonzero((both / np.maximum(either, 1) >= similarity) & (root[left][:, None] > root[right][None]))
+            x, y = np.concatenate([x, p]), np.concatenate([y, q])
+        if not len(x):
+            return None
+        a, b = left[x], right[y]
+        joined = np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])], axis=1)
+        _, one = np.unique(joined, axis=0, return_index=True)
+        return [pa.array(np.maximum(node[a[one]], node[b[one]])), pa.array(np.minimum(node[a[one]], node[b[one]]))]
+
+    return compare
+
+
 class Nodes:
     """The distinct texts of a table: `rows` has a stored row per document, `nodes` one per distinct text, both with bands."""
 
@@ -156,15 +210,18 @@ class Nodes:
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of stored pairs."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = written(asked.join(self.nodes.select("node", "doc_id", "key"), "node"), "asked")
-        side = small_side(asked.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key"))
-        texts = self.docs.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "plain")
-        bodies = written(texts.mapInArrow(_bodies, "node long, body array<long>").dropDuplicates(["node"]), "bodies")
+        bodies = self.bodies(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         joined = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
         both = F.size(F.array_intersect("body_a", "body_b"))
         return joined.withColumn("both", both).select("a", "b", (F.col("both") / (F.size("body_a") + F.size("body_b") - F.col("both"))).alias("similarity"))
 
+    def bodies(self, asked: DataFrame) -> DataFrame:
+        """(node, body) of the nodes asked for, stored."""
+        asked = written(asked.join(self.nodes.select("node", "doc_id", "key"), "node"), "asked")
+        side = small_side(asked.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key"))
+        texts = self.docs.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "plain")
+        return written(texts.mapInArrow(_bodies, "node long, body array<long>").dropDuplicates(["node"]), "bodies")
+
 
 def node_roots(nodes: Nodes, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for the nodes that are not the smallest of their component."""
@@ -174,21 +231,16 @@ def node_roots(nodes: Nodes, similarity: float = SIMILARITY) -> DataFrame:
     compared = written(nodes.compared(written(_likely(star), "likely")), "compared")
     links = compared.filter(F.col("similarity") >= similarity).select("a", "b")
     now = roots(links)
-    # what the stars leave open: buckets with several components, without the pairs that the distances to the hub rule out
+    # what the stars leave open: buckets with several components
     members = with_roots(buckets, now)
     several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    open_ = members.join(small_side(written(several, "open-buckets")), "bucket")
-    known = star.join(compared, ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias("hub"), "agree", "similarity")
-    open_ = open_.join(known, ["node", "hub"], "left")
-    at_hub, guess = F.col("node") == F.col("hub"), F.col("agree") / COMPONENTS
-    least = F.when(at_hub, 1.0).otherwise(F.coalesce("similarity", F.greatest(guess - SURE, F.lit(0.0))))
-    most = F.when(at_hub, 1.0).otherwise(F.coalesce("similarity", guess + SURE))
-    open_ = written(open_.select("bucket", "node", "root", at_hub.alias("at_hub"), least.alias("least"), most.alias("most")), "open")
-    left, right = (open_.filter("not at_hub").select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "least", "most")]) for n in "ab")
-    apart = F.greatest(F.col("least_a") - F.col("most_b"), F.col("least_b") - F.col("most_a")) > 1 - similarity + 1e-9
-    rest = left.join(right, "bucket").filter((F.col("root_a") < F.col("root_b")) & ~apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    rest = _likely(nodes.agreeing(written(rest, "rest")))
-    more = written(nodes.compared(written(rest, "likely")).filter(F.col("similarity") >= similarity).select("a", "b"), "more-links")
+    open_ = written(members.join(small_side(written(several, "open-buckets")), "bucket").select("bucket", "node", "root"), "open")
+    signed = open_.join(nodes.nodes.select("node", "short"), "node")
+    likely = tiles(signed, F.lit(1 / BLOCK_MEMBERS)).mapInArrow(tile_by_tile(_with_likely_partners, ["bucket", "node"]), "bucket long, node long")
+    likely = written(likely.distinct(), "likely-members")
+    held = open_.join(likely, ["bucket", "node"]).join(nodes.bodies(likely.select("node").distinct()), "node")
+    weight = F.greatest(F.size("body") / BLOCK_NUMBERS, F.lit(1 / BLOCK_MEMBERS))
+    more = written(tiles(held, weight).mapInArrow(tile_by_tile(_links(similarity), ["a", "b"]), "a long, b long").distinct(), "more-links")
     return roots(links.unionByName(more)) if more.take(1) else now
 
 

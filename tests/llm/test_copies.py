@@ -55,6 +55,23 @@ def test_near_copies_are_the_components_of_all_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("members", [2048, 3])
+def test_groups_just_below_the_similarity(spark, monkeypatch, members):
+    """Texts that all share bands, most of them not near enough: what the stars leave open is compared in tiles."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    draw = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for at in draw.sample(range(120), draw.choice([1, 2, 3, 4])):
+            words[at] = f"x{draw.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dedup.classes(spark.createDataFrame(rows, SHORT)).collect()}
+    want = near_classes(rows)
+    assert got == want and 1 < len({c for c, _ in want.values()})
+
+
 def test_signatures_estimate_weighted_similarity():
     draw = np.random.default_rng(3)
     errors = []
