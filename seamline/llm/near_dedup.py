@@ -162,8 +162,9 @@ def _links(similarity):
         run = np.cumsum(first) - 1
         often = np.bincount(run)[run] > 1  # a number of one text alone is in no overlap
         own, column = own[often], (np.cumsum(first[often]) - 1)
-        both, step = np.zeros((len(left), len(right)), np.float32), max(1, CELLS // n)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        both, columns = np.zeros((len(left), len(right)), np.float32), int(column[-1]) + 1 if len(column) else 0
+        step = min(max(1, CELLS // n), columns)
+        for at in range(0, columns, step or 1):
             a, b = np.searchsorted(column, [at, at + step])
             holds = np.zeros((n, step), np.float32)
             holds[own[a:b], column[a:b] - at] = 1
@@ -237,13 +238,20 @@ def node_roots(nodes: Nodes, similarity: float = SIMILARITY) -> DataFrame:
     open_ = written(members.join(small_side(written(several, "open-buckets")), "bucket").select("bucket", "node", "root"), "open")
     signed = open_.join(nodes.nodes.select("node", "short"), "node")
     likely = tiles(signed, F.lit(1 / BLOCK_MEMBERS)).mapInArrow(tile_by_tile(_with_likely_partners, ["bucket", "node"]), "bucket long, node long")
-    likely = written(likely.distinct(), "likely-members")
+    likely = _once(written(likely.distinct(), "likely-members"))
     held = open_.join(likely, ["bucket", "node"]).join(nodes.bodies(likely.select("node").distinct()), "node")
     weight = F.greatest(F.size("body") / BLOCK_NUMBERS, F.lit(1 / BLOCK_MEMBERS))
     more = written(tiles(held, weight).mapInArrow(tile_by_tile(_links(similarity), ["a", "b"]), "a long, b long").distinct(), "more-links")
     return roots(links.unionByName(more)) if more.take(1) else now
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """Of the buckets with the same members (copies of a pair agree in many bands) only one: told by their number and two hashes over them."""
+    sets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = written(sets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "different-buckets")
+    return written(members.join(small_side(kept), "bucket"), "likely-members")
+
+
 def _likely(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("agree") >= LEAST_AGREEING).select("a", "b")
 
