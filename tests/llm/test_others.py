@@ -173,7 +173,7 @@ def test_pipeline_stages(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
     assert exact_dedup and near_dedup
 
@@ -193,3 +193,35 @@ def test_terms_of_rare_entities_far_off_and_without_them(spark):
     clean = {r["doc_id"]: r["text"] for r in personal_data.sanitised(spark.createDataFrame(rows, SHORT)).collect()}
     assert "Quillfeather" not in clean[0] and clean[18] == f"{filler} [TERM] 8 " and clean[400] == f"{filler} [EMAIL] Larkspur"
     assert clean[100] == filler
+
+
+def test_many_spans_in_one_text(spark):
+    """More spans than a block of a running total holds, in a text of many pieces."""
+    draw = random.Random(5)
+    parts = ["q@a.org", "x@b.orgé", "1.2.3.4", "word", "é🙂", "+1 (017) 555-7713", "Name"]
+    text = " ".join(draw.choice(parts) for _ in range(3 * personal_data.BLOCK * 3))
+    row = spark.createDataFrame([(1, text)], SHORT).withColumn("base", personal_data.entities(F.col("text")))
+    spans = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0.0).alias("told")))
+    got = row.select("base", personal_data.masked(F.col("text"), spans).alias("masked"), personal_data._outside(F.col("text"), F.col("base")).alias("outside")).first()
+    base = [(s["start"], s["end"], s["kind"]) for s in got["base"]]
+    assert ",".join(f"{personal_data.NAMES[k]}:{a}:{e}" for a, e, k in base) == personal_spans(text) and len(base) > 2 * personal_data.BLOCK
+    assert len(text) > 3 * personal_data.PIECE
+    want, words, at = "", [], 0
+    for a, e, k in base:
+        if a >= at:
+            want += text[at:a] + f"[{personal_data.NAMES[k].upper()}]"
+            words += text[at:a].split()
+        at = max(at, e)
+    assert got["masked"] == want + text[at:]
+    # the é that an address is cut off from is no word
+    assert [w for w in got["outside"].split()] == [w for w in [*words, *text[at:].split()] if w != "é"]
+
+
+def test_chance_is_held_against_all_pairs(spark):
+    """One coincidence among many pairs is no evidence; the same one among few is."""
+    filler = "ask anyone about this other number " * 10
+    rows = [(0, f"{filler} Quillfeather q@a.org")] + [(i, filler) for i in range(1, 100)]
+    letters = "abcdefghij"
+    many = [(1000 + i, f"{filler} {letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}name") for i in range(400)]
+    count = lambda r: sum(x["n_term"] for x in personal_data.spans(spark.createDataFrame(r, SHORT)).collect())
+    assert count(rows) == 1 and count(rows + many) == 0
