@@ -5,7 +5,8 @@ Windows of 100 bytes that are equal have the same anchor (see `anchors`), so onl
   2. Equal pieces collapse to their first place; every other place is a repeat as a whole. Counting combines before the shuffle,
      so a passage that a third of all documents share is one row for each task.
   3. Different pieces of one anchor are compared in a run-length index (see `run_index`) over chunks of whole anchors of a bounded
-     size, sorted by place. Matching statistics are streamed through it, and matches of 100 bytes that began earlier are marked.
+     size, sorted by place. Matching statistics are streamed through it: they and the places sampled at run ends decide which
+     matches of 100 bytes began earlier, and those are marked.
   4. An anchor with more than `MOST` different pieces isn't given to one task: its pieces are cut into single windows, which are
      grouped by their hash, again combining before the shuffle.
 

@@ -131,17 +131,41 @@ def test_repeated_passages(spark, monkeypatch, most):
         assert row["kept_sha256"] == hashlib.sha256(left).hexdigest()
 
 
-@pytest.mark.parametrize("least", [3, 100])
-def test_run_index(least):
-    draw = random.Random(6)
-    texts = ["".join(draw.choice("ab") * draw.randint(1, 20) for _ in range(draw.randint(1, 25))).encode() for _ in range(30)]
-    seen, want = set(), []
+def repeated_places(texts, least):
+    seen, found = set(), []
     for t, text in enumerate(texts):
         for s in range(len(text) - least + 1):
             if text[s : s + least] in seen:
-                want.append((t, s))
+                found.append((t, s))
             seen.add(text[s : s + least])
-    assert [*zip(*[x.tolist() for x in RunIndex(texts, least).repeats()])] == want
+    return found
+
+
+@pytest.mark.parametrize("least", [3, 100])
+def test_run_index(least):
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("ab") * draw.randint(1, 20) for _ in range(draw.randint(1, 25))).encode() for _ in range(30)]
+    assert [*zip(*[x.tolist() for x in RunIndex(texts, least).repeats()])] == repeated_places(texts, least)
+
+
+def test_run_index_of_short_and_empty_texts():
+    draw = random.Random(1)
+    for _ in range(400):
+        least = draw.choice([1, 2, 3, 5, 8])
+        texts = ["".join(draw.choice("ab") for _ in range(draw.randint(0, 12))).encode() for _ in range(draw.randint(1, 4))]
+        assert [*zip(*[x.tolist() for x in RunIndex(texts, least).repeats()])] == repeated_places(texts, least)
+
+
+def test_streamed_statistics():
+    """Row, length and place above of every suffix, against sorted suffixes."""
+    texts, least = [b"banana", b"ananas", b"", b"bandana"], 3
+    index = RunIndex(texts, least)
+    codes = [c for t, text in enumerate(texts) for c in [*(b + 1000 for b in text), t]]
+    order = sorted(range(len(codes)), key=lambda p: codes[p:])
+    shared = lambda p, q: next(k for k in range(len(codes)) if codes[p + k] != codes[q + k])
+    want = [(r, p, order[r - 1]) for r, p in enumerate(order) if r and shared(p, order[r - 1]) >= least]
+    assert sorted(zip(*[x.tolist() for x in index.matches()])) == want
+    assert len(index.samples) == len(index.reach) == len(index.starts) < len(codes)
 
 
 def test_repeated_passages_awkward(spark):
