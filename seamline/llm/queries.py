@@ -1,12 +1,19 @@
 """The registered queries of this subpackage, one for each operator, and their SQL where SQL can say it."""
 
+from pyspark.sql import functions as F
+
 from seamline.llm import bpe, centroids, decontamination, exact_dedup, near_dedup, nearest, packing, personal_data, prefix_trie, quality, repeats, token_counts, toxicity
 from seamline.llm.sql import CENTROIDS, DECONTAMINATION, PREFIX_TRIE
 from seamline.llm.tables import table
 
 
 def op1_token_counts(spark, folder):
-    return token_counts.counted(table(spark, folder, "documents"), prefixes=False)
+    counts = token_counts.counted(table(spark, folder, "documents"))
+    half = token_counts.tokens_within(F.size("prefix_counts") / F.lit(2))
+    return counts.select(
+        "doc_id", "n_bytes", F.element_at("prefix_counts", -1).cast("long").alias("n_tokens"), "over_limit",
+        token_counts.longest_prefix(token_counts.OVER).cast("long").alias("longest_prefix"), half.cast("long").alias("tokens_of_first_half"),
+    )
 
 
 def op2_quality(spark, folder):

@@ -155,6 +155,10 @@ def _changes(counts: list[int]) -> bytes:
     return array.array("i", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
 
+#: Code points whose counts go into one batch, unless a single text has more.
+BATCH = 1 << 20
+
+
 def counted(docs: DataFrame, path: str | None = None, limit: int = OVER, prefixes: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit, and with `prefixes` prefix_counts: the token count of the first 0,
     1, 2, ... code points of the normalised text (array)."""
@@ -163,19 +167,32 @@ def counted(docs: DataFrame, path: str | None = None, limit: int = OVER, prefixe
 
     def count(batches):
         tables = _tables(path)
-        for batch in batches:
-            n_bytes, n_tokens, all_counts = [], [], []
-            for text in batch.column("text"):
-                changes = tables.changes(text.as_py())
-                counts = np.cumsum(changes, dtype=np.int64)
-                n_bytes.append(text.as_buffer().size)
-                n_tokens.append(int(counts[-1]) if len(counts) else 0)
-                all_counts.append(np.concatenate([[0], counts]).astype(np.int32) if prefixes else None)
-            columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
+
+        def result(ids, n_bytes, n_tokens, all_counts):
+            columns = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
             names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             if prefixes:
-                columns, names = [*columns, pa.array(all_counts, pa.list_(pa.int32()))], [*names, "prefix_counts"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                offsets = np.concatenate([[0], np.cumsum([len(c) for c in all_counts])]).astype(np.int32)
+                values = pa.array(np.concatenate([np.zeros(0, np.int32), *all_counts]))
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*names, "prefix_counts"]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            first, size, held = 0, 0, ([], [], [])
+            for i, text in enumerate(batch.column("text")):
+                changes = tables.changes(text.as_py())
+                held[0].append(text.as_buffer().size)
+                held[1].append(int(changes.sum()))
+                if prefixes:
+                    counts = np.zeros(len(changes) + 1, np.int32)
+                    np.cumsum(changes, out=counts[1:])
+                    held[2].append(counts)
+                    size += len(counts)
+                if size >= BATCH:
+                    yield result(batch.column("doc_id").slice(first, i + 1 - first), *held)
+                    first, size, held = i + 1, 0, ([], [], [])
+            if held[0]:
+                yield result(batch.column("doc_id").slice(first), *held)
 
     schema = f"doc_id {key}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_counts array<int>" * prefixes
     return texts(docs).mapInArrow(count, schema)
@@ -196,5 +213,6 @@ def tokens_within(length: Column, counts: str = "prefix_counts") -> Column:
 
 
 def longest_prefix(budget: int, counts: str = "prefix_counts") -> Column:
-    """The largest number of code points whose encoding has at most `budget` tokens."""
-    return F.size(counts) - F.array_position(F.transform(F.reverse(counts), lambda c: c <= budget), True).cast("int")
+    """The largest number of code points whose encoding has at most `budget` tokens. A text that fits as a whole isn't searched."""
+    within = F.array_position(F.transform(F.reverse(counts), lambda c: c <= budget), True).cast("int")
+    return F.when(F.element_at(counts, -1) <= budget, F.size(counts) - 1).otherwise(F.size(counts) - within)

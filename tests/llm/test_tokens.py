@@ -11,7 +11,7 @@ from helpers import AWKWARD, SHORT, awkward
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seamline.llm import bpe, packing, token_counts
+from seamline.llm import bpe, packing, queries, token_counts
 
 ODD = [
     "", "  ", "don't 'RE we'll'd x's <|endoftext|>foo***<|startoftext|> <|endo", "É é ﬁ ΣΑΣ straße İI ǅ", "日本語 テスト 한국어 🙂🙂 a🙂b", "\x1c\x1d a\x1fb",
@@ -70,6 +70,18 @@ def test_budget_questions(docs):
         assert row["t"] == counts[min(7, len(counts) - 1)]
 
 
+def test_registered_budget_columns(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "OVER", 20)
+    monkeypatch.setattr(token_counts, "BATCH", 300)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op1_token_counts(docs.sparkSession, str(tmp_path)).collect()}
+    for row in token_counts.counted(docs).collect():
+        counts, one = row["prefix_counts"], got[row["doc_id"]]
+        assert one["n_tokens"] == counts[-1]
+        assert one["longest_prefix"] == max(i for i, c in enumerate(counts) if c <= 20)
+        assert one["tokens_of_first_half"] == counts[len(counts) // 2]
+
+
 def test_limit(spark):
     rows = spark.createDataFrame([(1, "a " * 2048), (2, "a " * 2049)], SHORT)
     assert [(r["doc_id"], r["over_limit"]) for r in token_counts.counted(rows, prefixes=False).orderBy("doc_id").collect()] == [(1, False), (2, True)]
