@@ -1,13 +1,13 @@
 """Quality scores: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
-Random indexing: every word has a sparse index vector of a few +1 and -1, drawn by its hash. The context vector of a word is the
+Random indexing: every word has a sparse index vector of `NONZERO` +1 and -1, drawn by its hash. The context vector of a word is the
 sum of the index vectors of its neighbours, and of their shapes, over all documents. Words share `BUCKETS` buckets by hash, so
 the table of vectors has one size whatever the corpus. Each task adds up the table of its documents; slices of the tables
 are summed in a shuffle, and the finished table (a few MB) goes to the driver and to all tasks.
 
 The word `shape` (letter case, digits, punctuation, length) is indexed like a word of its own, so words never seen say something.
 A document is the mean and spread of its word and shape vectors and of the steps between neighbours. The network is fitted on at most
-`FIT_ROWS` labelled rows, drawn by a hash of their id; a fifth of them is kept from the fit to calibrate the temperature.
+`FIT_ROWS` labelled ids, drawn by hash, with one text each; a fifth of them is kept from the fit to calibrate the temperature.
 
 Cases: a null text is the empty one and gets a score like any other. Labels that are null, or whose doc_id is null or absent from the
 documents, teach nothing; without labels of both kinds the score is the share of label 1 (0.5 without any). Rows, repeated ones too,
@@ -23,10 +23,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seamline.llm.fast_words import mixed, slabs, words
 from seamline.llm.tables import texts
+from seamline.session import written
 
 BUCKETS = 1 << 16
 DIMS = 32
-NONZERO = 4
+NONZERO = 2
 SLICE = 1024  # buckets in one row of a partial table
 FIT_ROWS = 16_000
 HIDDEN = 32
@@ -83,8 +84,8 @@ def _count(batches):
                 sums = np.zeros(BUCKETS * DIMS)
             near = np.flatnonzero(cut.text[1:] == cut.text[:-1])
             own = [(at, other) for a, b in ((near, near + 1), (near + 1, near)) for at in (cut.word[a], cut.shape[a]) for other in (cut.word[b], cut.shape[b])]
-            cells = np.concatenate([at * DIMS + places[other, k] for at, other in own for k in range(NONZERO // 2)])
-            sums += np.bincount(cells, np.concatenate([signs[other, k] for _, other in own for k in range(NONZERO // 2)]), BUCKETS * DIMS)
+            cells = np.concatenate([at * DIMS + places[other, k] for at, other in own for k in range(NONZERO)])
+            sums += np.bincount(cells, np.concatenate([signs[other, k] for _, other in own for k in range(NONZERO)]), BUCKETS * DIMS)
     if sums is not None:
         for i, own in enumerate(sums.reshape(-1, SLICE * DIMS)):
             if own.any():
@@ -206,6 +207,14 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, fold: int, rows:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(text, label), stored: one text for each sampled id, so never more rows than `sample` has. Where an id has several texts, their
+    hashes choose; they are reduced before they are sent."""
+    found = texts(docs).join(F.broadcast(sample), "doc_id")
+    chosen = found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return written(chosen.select("text", "label"), "labelled-texts")
+
+
 def fit(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality", folds: int = 5, fold: int = 0, rows: int = FIT_ROWS):
     def features(batches):
         table = vectors.value
@@ -215,8 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality", fol
                 own = batch.slice(slab.first, slab.texts)
                 yield pa.RecordBatch.from_arrays([own.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
-    sample = labelled_sample(labels, label, folds, fold, rows)
-    found = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "label").limit(2 * rows)
+    found = labelled_texts(docs, labelled_sample(labels, label, folds, fold, rows))
     taken = found.mapInArrow(features, "label int, x binary").collect()
     y = np.array([r["label"] for r in taken], int)
     x = np.array([np.frombuffer(r["x"], "<f4") for r in taken], np.float64).reshape(-1, FEATURES)

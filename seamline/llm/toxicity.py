@@ -10,7 +10,7 @@ The label model is a mixture of two classes in which each voter has its own rate
 maximisation. Voters that agree more than the classes explain are correlated; what they say is divided by the size of their
 crowd. The posteriors, not the labels, train the classifier: logistic regression over the terms that stand out and the densities.
 
-Everything is fitted on at most `FIT_ROWS` labelled rows, drawn by a hash of their id; every text is scored whole.
+Everything is fitted on at most `FIT_ROWS` labelled ids, drawn by hash, with one text each, stored once; every text is scored whole.
 
 Cases: a null text is the empty one and gets a score like any other. Labels that are null, or whose doc_id is null or absent from
 the documents, teach nothing; without labels of both kinds the score is the share of label 1 (0.5 without any). Rows, repeated
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.fast_words import mixed, slabs, stretch_hash, stretch_sums, words
-from seamline.llm.quality import FIT_ROWS, Share, _add_up, _logistic, held_out, labelled_sample
+from seamline.llm.quality import FIT_ROWS, Share, _add_up, _logistic, held_out, labelled_sample, labelled_texts
 from seamline.llm.tables import texts
 
 TERMS = 1 << 20
@@ -192,8 +192,7 @@ class Even:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, fold: int = 1, rows: int = FIT_ROWS):
-    sample = labelled_sample(labels, label, folds, fold, rows)
-    found = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "label").limit(2 * rows)
+    found = labelled_texts(docs, labelled_sample(labels, label, folds, fold, rows))
     by_label = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(by_label) < 2:
         return Even([k for k, n in by_label.items() for _ in range(n)])

@@ -114,6 +114,14 @@ def test_classifiers(spark, module, folds, fold, label):
     assert all(again[r["doc_id"]] == r["score"] for r in rows)
 
 
+def test_repeated_ids_teach_once(spark):
+    docs, labels = labelled(spark, 60)
+    several = docs.crossJoin(spark.range(5)).select("doc_id", F.concat("text", F.lit(" "), "id").alias("text"))
+    sample = quality.labelled_sample(labels, "quality", 5, 0, 30)
+    taken = [sorted(map(tuple, quality.labelled_texts(d, sample).collect())) for d in (several, several.repartition(7, "text"), several.orderBy(F.desc("text")))]
+    assert len(taken[0]) == sample.count() == 30 and taken[0] == taken[1] == taken[2]
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_awkward(spark, module):
     _, labels = labelled(spark, 50)
