@@ -74,12 +74,20 @@ def copies(docs: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """(text_sha256), stored: the hashes of texts that several rows have. Only hashes are looked up and only suspects are shuffled."""
+    keys = hashed(docs).select("text_sha256")
+    suspects = with_suspicion(keys, "text_sha256", *_filter(keys)).filter("suspect")
+    return written(suspects.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256"), "repeated-texts")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without copies: of equal texts the row with the largest doc_id. All columns of `docs`, and only those, come back."""
+    """`docs` without copies: of equal texts the row with the largest doc_id. All columns of `docs`, and only those, come back. Texts meet
+    the hashes found to repeat, one for each group of copies, and nothing else; what isn't among them passes straight through."""
     names = docs.columns
-    keys = hashed(docs).select("text_sha256")
+    several = small_side(repeated_texts(docs)).select("text_sha256", F.lit(True).alias("several"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    whole = with_suspicion(whole, "text_sha256", *_filter(keys))
-    best = whole.filter("suspect").groupBy("text_sha256").agg(F.max_by("row", F.struct("row.doc_id", "row.text")).alias("row"))
-    kept = whole.filter("not suspect").select("row").unionByName(best.select("row"))
+    whole = whole.join(several, "text_sha256", "left")
+    best = whole.filter("several").groupBy("text_sha256").agg(F.max_by("row", F.struct("row.doc_id", "row.text")).alias("row"))
+    kept = whole.filter("several IS NULL").select("row").unionByName(best.select("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import AWKWARD, SHORT, awkward, near_classes, repeated_bytes
 
-from seamline.llm import components, exact_dedup, near_dedup, repeats
+from seamline.llm import components, exact_dedup, near_dedup, repeats, tables
 from seamline.llm.run_index import RunIndex
 
 
@@ -27,6 +27,19 @@ def test_exact_copies_with_a_full_filter(spark, monkeypatch):
     assert exact_dedup.copies(spark.createDataFrame(rows, SHORT)).filter("kept").count() == 70
 
 
+@pytest.mark.parametrize("rows_sent", [0, 500_000])
+def test_exact_copies_on_both_sides_of_the_broadcast_bound(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", rows_sent)
+    rows = [(i, "hot" if i % 3 == 0 else f"Text {i % 70}" if i < 200 else f"own {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, SHORT)
+    low = [t.lower() for _, t in rows]
+    last = {t: i for i, t in enumerate(low)}
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_one(docs).collect()) == sorted(last.values())
+    assert {r["doc_id"] for r in exact_dedup.copies(docs).filter("kept").collect()} == set(last.values())
+    several = {hashlib.sha256(t.encode()).hexdigest() for t in low if low.count(t) > 1}
+    assert {r["text_sha256"] for r in exact_dedup.repeated_texts(docs).collect()} == several
+
+
 def test_exact_copies_awkward(spark):
     kept = exact_dedup.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
