@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, folder of tables) and returns a DataFrame; its result is written as Parquet and read again as the next
 one's docs. All but the last return the columns of their docs. The rows that come out are the pieces of the documents that
 stayed, with their places in the sequences.
+
+Cases: a null text counts as empty and empty texts are documents like any other: equal ones are copies of each other, of which one
+stays. Without labels of both kinds no document is rejected. Null doc_ids are carried along. Very long texts are worked on whole. Other
+columns, whatever their names, pass through all stages but the last. An empty table gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession

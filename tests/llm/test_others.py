@@ -180,6 +180,22 @@ def test_pipeline_stages(spark):
     assert len({p["sequence_id"] for p in pieces}) <= -(-sum(p["length"] for p in pieces) // 2048) + 2
 
 
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_pipeline_awkward(spark, tmp_path, rows):
+    """Without labels nothing is rejected; of equal texts one stays, each document comes out in gapless pieces."""
+    awkward(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = near_dedup.keep_one(exact_dedup.keep_one(awkward(spark, rows))).collect()
+    assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in kept}
+    assert sum(p["piece"] == 0 for p in pieces) == len(kept)
+    filled = {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == filled.get(p["sequence_id"], 0)
+        filled[p["sequence_id"]] = p["offset"] + p["length"]
+    assert all(n <= 2048 for n in filled.values())
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
